@@ -27,3 +27,13 @@ def local_session(app: str = "tallybook", cores: int | str = 8, shuffle_partitio
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder, read through Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine find the package wherever the driver was started.
+    A cluster ships it with ``--py-files`` instead."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark
