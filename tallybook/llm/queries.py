@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.llm import bpe
+from tallybook.llm import bpe, language, quality, textkit
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary_path(), finish=bpe.digests, schema=bpe.DIGESTS)
 
 
-QUERIES = {"op7_bpe": op7_bpe}
-ORACLES: dict[str, str] = {}
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(language.training_rows(docs)))
+    found = language.predict(docs, model)
+    return found.select("doc_id", (textkit.crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+QUERIES = {"op1_language": op1_language, "op7_bpe": op7_bpe, "op10_quality": op10_quality}
+ORACLES: dict[str, str] = {"op10_quality": quality.ORACLE}
