@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.llm import bpe, language, quality, textkit
+from tallybook.llm import bpe, language, pii, quality, textkit
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,13 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (textkit.crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
-QUERIES = {"op1_language": op1_language, "op7_bpe": op7_bpe, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {"op10_quality": quality.ORACLE}
+QUERIES = {"op1_language": op1_language, "op3_pii": op3_pii, "op7_bpe": op7_bpe, "op10_quality": op10_quality}
+ORACLES: dict[str, str] = {"op3_pii": pii.ORACLE, "op10_quality": quality.ORACLE}
