@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.llm import bpe, language, pii, quality, textkit
+from tallybook.llm import bpe, language, pii, quality, substrings, suffixes, textkit
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_duplicates(_table(spark, sf_dir, "documents"), finish=substrings.digests, schema=substrings.DIGESTS)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary_path(), finish=bpe.digests, schema=bpe.DIGESTS)
 
@@ -36,5 +44,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
-QUERIES = {"op1_language": op1_language, "op3_pii": op3_pii, "op7_bpe": op7_bpe, "op10_quality": op10_quality}
+QUERIES = {"op1_language": op1_language, "op3_pii": op3_pii, "op5_suffix_array": op5_suffix_array, "op6_substrings": op6_substrings, "op7_bpe": op7_bpe, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op3_pii": pii.ORACLE, "op10_quality": quality.ORACLE}
