@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.llm import bpe, language, pii, quality, substrings, suffixes, textkit
+from tallybook.llm import bpe, language, neardup, pii, quality, substrings, suffixes, textkit
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +40,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(_table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
-QUERIES = {"op1_language": op1_language, "op3_pii": op3_pii, "op5_suffix_array": op5_suffix_array, "op6_substrings": op6_substrings, "op7_bpe": op7_bpe, "op10_quality": op10_quality}
+QUERIES = {"op1_language": op1_language, "op3_pii": op3_pii, "op5_suffix_array": op5_suffix_array, "op6_substrings": op6_substrings, "op7_bpe": op7_bpe, "op9_near_duplicates": op9_near_duplicates, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op3_pii": pii.ORACLE, "op10_quality": quality.ORACLE}
