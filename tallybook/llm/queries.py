@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.llm import bpe, language, neardup, pii, quality, substrings, suffixes, textkit
+from tallybook.llm import bpe, language, neardup, pii, quality, substrings, suffixes, textkit, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (textkit.crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (textkit.crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(_table(spark, sf_dir, "documents"))
 
@@ -48,5 +54,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
-QUERIES = {"op1_language": op1_language, "op3_pii": op3_pii, "op5_suffix_array": op5_suffix_array, "op6_substrings": op6_substrings, "op7_bpe": op7_bpe, "op9_near_duplicates": op9_near_duplicates, "op10_quality": op10_quality}
+QUERIES = {"op1_language": op1_language, "op2_toxicity": op2_toxicity, "op3_pii": op3_pii, "op5_suffix_array": op5_suffix_array, "op6_substrings": op6_substrings, "op7_bpe": op7_bpe, "op9_near_duplicates": op9_near_duplicates, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op3_pii": pii.ORACLE, "op10_quality": quality.ORACLE}
