@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallybook.llm import textkit
 
@@ -103,12 +104,12 @@ def unseen(model: Model, word: str) -> np.ndarray:
     return total
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The rows of ``docs`` with lang_pred and score, and of their own columns those in ``keep``."""
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of ``docs`` with the columns in ``keep`` and two ``added`` ones, the prediction and its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.select("text", *[F.col(c) for c in keep if c != "text"])
     names = [c for c in docs.columns if c != "text" or "text" in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names) + ", lang_pred string, score double"
+    schema = StructType([docs.schema[n] for n in names]).add(added[0], "string").add(added[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -151,7 +152,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 top = np.exp(scores - scores.max(1, keepdims=True))
                 share = np.where(counts > 0, top.max(1) / top.sum(1), 0.0)
                 labels = names_of[np.where(counts > 0, best, len(m.languages))]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names] + [pa.array(labels.tolist(), pa.string()), pa.array(share)], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names] + [pa.array(labels.tolist(), pa.string()), pa.array(share)], [*names, *added])
 
     return docs.mapInArrow(run, schema)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.llm import bpe, language, neardup, pii, quality, substrings, suffixes, textkit, toxicity
+from tallybook.llm import bpe, chat, decontam, language, neardup, pii, quality, substrings, suffixes, textkit, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.found(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(_table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.digests(chat.conversations_of(chat.chains(rows.unionByName(extra))))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
@@ -54,5 +65,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
-QUERIES = {"op1_language": op1_language, "op2_toxicity": op2_toxicity, "op3_pii": op3_pii, "op5_suffix_array": op5_suffix_array, "op6_substrings": op6_substrings, "op7_bpe": op7_bpe, "op9_near_duplicates": op9_near_duplicates, "op10_quality": op10_quality}
+QUERIES = {"op1_language": op1_language, "op2_toxicity": op2_toxicity, "op3_pii": op3_pii, "op4_decontamination": op4_decontamination, "op5_suffix_array": op5_suffix_array, "op6_substrings": op6_substrings, "op7_bpe": op7_bpe, "op8_chat": op8_chat, "op9_near_duplicates": op9_near_duplicates, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op3_pii": pii.ORACLE, "op10_quality": quality.ORACLE}
