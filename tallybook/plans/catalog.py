@@ -1,6 +1,484 @@
-"""Registry of the reference operators bound to the star-schema tables."""
+"""Registry of the reference operators bound to the star-schema tables: for each a Spark query and
+the same question in plain SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallybook.functions import dates, fuzzy, money
+from tallybook.functions import text as texts
+from tallybook.operators import balance, classify, geometry, ledger, merchant, report
+from tallybook.operators import lines as walks
+from tallybook.plans import views as v
+from tallybook.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _items(s: SparkSession, d: str) -> DataFrame:
+    return v.lines(s, d).select((F.col("receipt_id") * 100 + F.col("line_no")).alias("item_id"), "receipt_id", "line_no", "description", "price")
+
+
+# --- classification ---------------------------------------------------------------------
+
+
+@query(f"WITH {v.MATCHES_SQL}, s AS (SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM m o JOIN rules r ON r.rule_id = o.rule_id WHERE o.item_id = m.item_id AND list_contains(r.disables, m.rule_id))), w AS (SELECT item_id, path, row_number() OVER (PARTITION BY item_id ORDER BY priority DESC, is_exact DESC, keyword_length DESC, rule_index) AS n FROM s WHERE path IS NOT NULL) SELECT coalesce(a.account, 'Expenses:Uncategorized') AS account, count(*) AS n_items, CAST(sum(i.price) AS BIGINT) AS total_cents FROM items i LEFT JOIN w ON w.item_id = i.item_id AND w.n = 1 LEFT JOIN accounts a ON a.path = w.path GROUP BY 1")
+def account_totals(s, d):
+    items, rules = _items(s, d), v.rules(s)
+    # descriptions repeat: classify each distinct one once, then join it back
+    distinct = items.select("description").distinct().select(F.col("description").alias("item_id"), "description")
+    won = classify.winners(classify.subtract(classify.matches(distinct, rules), rules), v.accounts(s)).select(F.col("item_id").alias("description"), "account")
+    return items.join(won, "description", "left").groupBy(F.coalesce("account", F.lit("Expenses:Uncategorized")).alias("account")).agg(F.count("*").alias("n_items"), F.sum("price").alias("total_cents"))
+
+
+@query(f"WITH {v.MATCHES_SQL} SELECT item_id, rule_id, keyword, is_exact, row_number() OVER (PARTITION BY item_id ORDER BY priority DESC, is_exact DESC, keyword_length DESC, rule_index) AS match_rank FROM m")
+def classify_rank(s, d):
+    return classify.rank(classify.matches(_items(s, d), v.rules(s))).select("item_id", "rule_id", "keyword", "is_exact", "match_rank")
+
+
+@query(f"WITH {v.MATCHES_SQL} SELECT item_id, rule_id FROM m WHERE NOT EXISTS (SELECT 1 FROM m o JOIN rules r ON r.rule_id = o.rule_id WHERE o.item_id = m.item_id AND list_contains(r.disables, m.rule_id))")
+def classify_subtract(s, d):
+    rules = v.rules(s)
+    return classify.subtract(classify.matches(_items(s, d), rules), rules).select("item_id", "rule_id")
+
+
+@query(f"WITH {v.RULES_SQL} SELECT DISTINCT path, array_to_string(p[1:i], '/') AS tag FROM (SELECT path, string_split(path, '/') AS p, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM rules WHERE path IS NOT NULL)")
+def tag_expand(s, d):
+    return v.rules(s).where("path IS NOT NULL").select("path").distinct().select("path", F.explode(classify.expand_paths(F.array("path"))).alias("tag"))
+
+
+@query(f"WITH {v.RULES_SQL}, {v.ACCOUNTS_SQL} SELECT p.path, a.account FROM (SELECT path FROM rules WHERE path IS NOT NULL UNION SELECT path FROM accounts) p LEFT JOIN accounts a USING (path)")
+def list_categories(s, d):
+    return classify.categories(v.rules(s), v.accounts(s))
+
+
+@query(f"WITH {v.RULES_SQL}, {v.TAGS_SQL} SELECT rule_id, 'path' AS problem, path AS value FROM rules WHERE path IS NOT NULL AND path NOT IN (SELECT path FROM tags) UNION ALL SELECT rule_id, 'disables', u FROM (SELECT rule_id, unnest(disables) AS u FROM rules) WHERE u NOT IN (SELECT rule_id FROM rules)")
+def rule_validate(s, d):
+    return classify.undeclared(v.rules(s), v.tags(s))
+
+
+@query(f"WITH {v.RULES_SQL}, l AS (SELECT rule_id, path, priority + 100 AS priority, 0 AS layer FROM rules UNION ALL SELECT rule_id, 'override/' || path, priority + 201, 1 FROM rules WHERE rule_index % 3 = 0) SELECT rule_id, path, priority, layer FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY layer DESC) AS n FROM l) WHERE n = 1")
+def layer_upsert(s, d):
+    base = v.rules(s).select("rule_id", "path", "priority", "rule_index")
+    over = base.where("rule_index % 3 = 0").withColumn("path", F.concat(F.lit("override/"), "path")).withColumn("priority", F.col("priority") + 1)
+    return classify.layered([base, over]).select("rule_id", "path", "priority", "layer")
+
+
+@query(f"WITH {v.RULES_SQL}, {v.ACCOUNTS_SQL}, a AS (SELECT DISTINCT path, i AS depth, array_to_string(p[1:i], '/') AS ancestor FROM (SELECT path, string_split(path, '/') AS p, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM rules WHERE path IS NOT NULL)) SELECT a.path, arg_max(accounts.account, depth) AS account FROM a LEFT JOIN accounts ON accounts.path = a.ancestor GROUP BY a.path")
+def chosen_account(s, d):
+    return classify.nearest_account(v.rules(s).where("path IS NOT NULL").select("path").distinct(), v.accounts(s))
+
+
+@query(f"WITH {v.MATCHES_SQL}, t AS (SELECT DISTINCT left(description, greatest(length(description) - 2, 1)) AS line FROM items), c AS (SELECT line, regexp_extract(line, '([^ ]*)$', 1) AS tail FROM t WHERE length(line) >= 6), j AS (SELECT c.line, a.account FROM c JOIN kw ON starts_with(kw.keyword, c.tail) AND length(kw.keyword) > length(c.tail) JOIN accounts a ON a.path = kw.path WHERE length(c.tail) >= 3) SELECT line, min(account) AS account FROM j GROUP BY line HAVING count(DISTINCT account) = 1")
+def prefix_fallback(s, d):
+    cut = _items(s, d).select(F.expr("left(description, greatest(length(description) - 2, 1))").alias("description")).distinct().withColumn("item_id", F.col("description"))
+    found = classify.prefix_fallback(cut, v.rules(s), v.accounts(s), line_length=6, tail=3)
+    return found.select(F.col("item_id").alias("line"), "account")
+
+
+@query(f"WITH {v.LINES_SQL} SELECT DISTINCT description, regexp_replace(regexp_replace(' ' || description || ' ', '([^A-Z0-9])R *E *D([^A-Z0-9])', '\\1   \\2', 'g'), '([^A-Z0-9])O *L *D([^A-Z0-9])', '\\1   \\2', 'g') AS masked FROM rl")
+def brand_mask(s, d):
+    rows = _items(s, d).select("description").distinct()
+    return rows.select("description", F.concat(F.lit(" "), classify.mask_brands(F.col("description"), ["RED", "OLD"]), F.lit(" ")).alias("masked"))
+
+
+# --- balances and tenders -----------------------------------------------------------------
+
+_BAL = f"WITH {v.LINES_SQL}, {v.HEADERS_SQL}, x AS (SELECT rh.receipt_id, total, total // 11 AS tax, total - total // 11 + rh.receipt_id % 5 AS subtotal, sum(price)::BIGINT AS items, count(price) AS n FROM rh LEFT JOIN rl ON rl.receipt_id = rh.receipt_id GROUP BY ALL)"
+
+
+def _receipts(s, d):
+    h = v.headers(s, d)
+    tax = F.floor(F.col("total") / 11)
+    return h.withColumn("tax", tax).withColumn("subtotal", F.col("total") - tax + F.col("receipt_id") % 5)
+
+
+@query(f"""{_BAL} SELECT receipt_id, 'no_items' AS kind, total AS difference FROM x WHERE n = 0
+UNION ALL SELECT receipt_id, 'items_total', items + tax - total FROM x WHERE n > 0 AND abs(items + tax - total) > 2
+UNION ALL SELECT receipt_id, 'items_subtotal', coalesce(items, 0) - subtotal FROM x WHERE abs(coalesce(items, 0) - subtotal) > 2
+UNION ALL SELECT receipt_id, 'subtotal_total', subtotal + tax - total FROM x WHERE abs(subtotal + tax - total) > 2""")
+def balance_warnings(s, d):
+    return balance.balance_warnings(_receipts(s, d).select("receipt_id", "total", "tax", "subtotal"), v.lines(s, d).select("receipt_id", "price"))
+
+
+@query(f"WITH {v.MATCHES_SQL} SELECT item_id, description FROM items WHERE item_id NOT IN (SELECT item_id FROM m JOIN accounts USING (path))")
+def uncategorized(s, d):
+    items = _items(s, d)
+    distinct = items.select("description").distinct().select(F.col("description").alias("item_id"), "description")
+    known = classify.matches(distinct, v.rules(s)).join(F.broadcast(v.accounts(s)), "path", "left_semi").select("description")
+    return items.join(known, "description", "left_anti").select("item_id", "description")
+
+
+@query(f"WITH {v.LINES_SQL}, p AS (SELECT receipt_id, sum(price) AS paid FROM rl WHERE l_returnflag <> 'R' GROUP BY 1), c AS (SELECT receipt_id, sum(price) AS back FROM rl WHERE l_returnflag = 'R' GROUP BY 1) SELECT p.receipt_id, CAST(CASE WHEN coalesce(back, 0) > paid THEN paid ELSE paid - coalesce(back, 0) END AS BIGINT) AS net FROM p LEFT JOIN c USING (receipt_id)")
+def tender_net(s, d):
+    rows = v.lines(s, d).select("receipt_id", F.col("price").alias("amount"), "l_returnflag")
+    return balance.tendered_net(rows.where("l_returnflag <> 'R'"), rows.where("l_returnflag = 'R'"))
+
+
+@query(f"WITH {v.LINES_SQL}, {v.HEADERS_SQL}, t AS (SELECT receipt_id, 'Assets:' || l_returnflag AS account, price AS amount FROM rl), p AS (SELECT receipt_id, sum(amount) AS paid FROM t GROUP BY 1), q AS (SELECT rh.receipt_id, CASE WHEN rh.receipt_id % 3 = 0 AND paid IS NOT NULL THEN paid ELSE total END AS total, paid FROM rh LEFT JOIN p USING (receipt_id)) SELECT q.receipt_id, t.account, CAST(-t.amount AS BIGINT) AS amount FROM q JOIN t USING (receipt_id) WHERE paid = total UNION ALL SELECT receipt_id, 'Liabilities:Card', CAST(-total AS BIGINT) FROM q WHERE paid IS DISTINCT FROM total")
+def payment_postings(s, d):
+    tenders = v.lines(s, d).select("receipt_id", F.concat(F.lit("Assets:"), "l_returnflag").alias("account"), F.col("price").alias("amount"))
+    paid = tenders.groupBy("receipt_id").agg(F.sum("amount").alias("p"))
+    receipts = v.headers(s, d).join(paid, "receipt_id", "left").select("receipt_id", F.when((F.col("receipt_id") % 3 == 0) & F.col("p").isNotNull(), F.col("p")).otherwise(F.col("total")).alias("total"))
+    return balance.payment_postings(receipts, tenders, "Liabilities:Card")
+
+
+@query(f"WITH {v.LINES_SQL}, t AS (SELECT receipt_id, line_no, 'Expenses:' || replace(description, ' ', ':') AS account, (price // 100) || '.' || lpad(CAST(price % 100 AS VARCHAR), 2, '0') AS a FROM rl), w AS (SELECT *, max(length(account)) OVER (PARTITION BY receipt_id) AS wide, max(length(a)) OVER (PARTITION BY receipt_id) AS tall FROM t) SELECT receipt_id, line_no, '  ' || rpad(account, CAST(wide AS INT), ' ') || '  ' || lpad(a, CAST(tall AS INT), ' ') || ' CAD' AS line FROM w")
+def postings_aligned(s, d):
+    rows = v.lines(s, d).select("receipt_id", "line_no", F.concat(F.lit("Expenses:"), F.replace("description", F.lit(" "), F.lit(":"))).alias("account"), F.col("price").alias("amount"))
+    return ledger.aligned_postings(rows, "receipt_id").select("receipt_id", "line_no", "line")
+
+
+@query(f"WITH {v.LINES_SQL}, t AS (SELECT receipt_id, line_no, l_linestatus AS kind, CAST(l_quantity AS BIGINT) % 3 AS amount, l_returnflag = 'R' AS is_slip FROM rl), n AS (SELECT *, row_number() OVER (PARTITION BY receipt_id, kind, amount, is_slip ORDER BY line_no) AS n FROM t) SELECT receipt_id, line_no, kind, amount, is_slip FROM n WHERE NOT is_slip OR NOT EXISTS (SELECT 1 FROM n o WHERE NOT o.is_slip AND o.receipt_id = n.receipt_id AND o.kind = n.kind AND o.amount = n.amount AND o.n = n.n)")
+def slip_echo_multiset(s, d):
+    rows = v.lines(s, d).select("receipt_id", "line_no", F.col("l_linestatus").alias("kind"), (F.col("l_quantity").cast("bigint") % 3).alias("amount"), (F.col("l_returnflag") == "R").alias("is_slip"))
+    return balance.slip_echoes_dropped(rows)
+
+
+@query(f"WITH {v.LINES_SQL} SELECT receipt_id, CAST(coalesce(sum(price) FILTER (l_returnflag = 'R'), 0) AS BIGINT) AS change_cents, bool_or(l_returnflag = 'A' AND price % 7 = 0) AS printed_negative FROM rl GROUP BY 1")
+def change_sum(s, d):
+    rows = v.lines(s, d)
+    return rows.groupBy("receipt_id").agg(F.coalesce(F.sum(F.when(F.col("l_returnflag") == "R", F.col("price"))), F.lit(0)).alias("change_cents"), F.bool_or((F.col("l_returnflag") == "A") & (F.col("price") % 7 == 0)).alias("printed_negative"))
+
+
+@query(f"{_BAL} SELECT receipt_id, CASE WHEN (t = 0 OR t = total OR t = subtotal OR 4 * t > subtotal) AND total - subtotal > 0 AND 4 * (total - subtotal) <= subtotal THEN total - subtotal ELSE t END AS tax FROM (SELECT *, CASE receipt_id % 4 WHEN 0 THEN 0 WHEN 1 THEN total WHEN 2 THEN subtotal ELSE tax END AS t FROM x)")
+def tax_reconcile(s, d):
+    r = _receipts(s, d)
+    k = F.col("receipt_id") % 4
+    bad = F.when(k == 0, 0).when(k == 1, F.col("total")).when(k == 2, F.col("subtotal")).otherwise(F.col("tax"))
+    return r.select("receipt_id", balance.reconciled_tax(bad, F.col("subtotal"), F.col("total")).alias("tax"))
+
+
+@query(f"WITH {v.LINES_SQL}, a AS (SELECT DISTINCT receipt_id, price AS amount FROM rl), t AS (SELECT receipt_id, max(amount) + min(amount) AS total FROM a GROUP BY 1), p AS (SELECT t.receipt_id, x.amount AS subtotal, y.amount AS tax FROM t JOIN a x USING (receipt_id) JOIN a y ON y.receipt_id = t.receipt_id AND y.amount = t.total - x.amount WHERE y.amount > 0 AND 4 * y.amount <= x.amount) SELECT receipt_id, min(subtotal) AS subtotal, min(tax) AS tax FROM p GROUP BY 1 HAVING count(*) = 1")
+def summary_shift(s, d):
+    a = v.lines(s, d).select("receipt_id", F.col("price").alias("amount"))
+    t = a.groupBy("receipt_id").agg((F.max("amount") + F.min("amount")).alias("total"))
+    return balance.summary_shift(a, t)
+
+
+@query(f"WITH {v.LINES_SQL}, i AS (SELECT receipt_id, line_no, CASE WHEN line_no % 4 = 0 THEN -price ELSE price END AS price FROM rl), t AS (SELECT receipt_id, median(abs(price))::BIGINT AS total FROM i GROUP BY 1), c AS (SELECT t.receipt_id, total + coalesce((SELECT -sum(price) FROM i WHERE i.receipt_id = t.receipt_id AND price < 0), 0) AS cap FROM t) SELECT i.receipt_id, line_no, price FROM i JOIN c USING (receipt_id) WHERE price <= cap")
+def price_cap(s, d):
+    i = v.lines(s, d).select("receipt_id", "line_no", F.when(F.col("line_no") % 4 == 0, -F.col("price")).otherwise(F.col("price")).alias("price"))
+    t = i.groupBy("receipt_id").agg(F.round(F.median(F.abs("price"))).cast("bigint").alias("total"))
+    return balance.under_cap(i, t)
+
+
+@query(f"WITH {v.LINES_SQL} SELECT receipt_id, min(l_linestatus) AS l_linestatus FROM rl GROUP BY 1 HAVING count(DISTINCT l_linestatus) = 1")
+def tender_unique(s, d):
+    return balance.single_value(v.lines(s, d).select("receipt_id", "l_linestatus"), "receipt_id", "l_linestatus")
+
+
+@query(f"{_BAL} SELECT receipt_id, CASE WHEN total = 0 THEN 0 ELSE greatest(40, CAST(floor(100 - 0.6::DOUBLE * least(abs(coalesce(items, 0) - total) * 100::DOUBLE / greatest(abs(total), 1), 100.0)) AS BIGINT)) END AS total_score, CASE receipt_id % 3 WHEN 0 THEN 100 WHEN 1 THEN 70 ELSE 35 END AS merchant_score, 100 AS date_score FROM x")
+def confidence(s, d):
+    sums = v.lines(s, d).groupBy("receipt_id").agg(F.sum("price").alias("items"))
+    r = v.headers(s, d).join(sums, "receipt_id", "left")
+    k = F.col("receipt_id") % 3
+    status = F.when(k == 0, "exact").when(k == 1, "suggested").otherwise("unknown")
+    scores = balance.confidence(F.col("total"), F.coalesce("items", F.lit(0)), status, F.col("day").isNotNull())
+    return r.select("receipt_id", *[c.alias(n) for n, c in scores.items()])
+
+
+# --- order-dependent walks ------------------------------------------------------------------
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN 'dept-' || (event_id % 5) WHEN event_type = 'error' THEN '' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS d0, CASE WHEN d0 = '' THEN NULL ELSE d0 END AS department FROM events".replace("SELECT event_id, last_value", "SELECT event_id, department FROM (SELECT event_id, last_value") + ")")
+def department_fill(s, d):
+    e = table(s, d, "events")
+    banner = F.when(F.col("event_type") == "signup", F.concat(F.lit("dept-"), (F.col("event_id") % 5).cast("string"))).when(F.col("event_type") == "error", "")
+    return walks.carried(e, "user_id", "event_id", banner).select("event_id", "department")
+
+
+@query(f"WITH {v.LINES_SQL}, x AS (SELECT receipt_id, line_no, description, CASE WHEN line_no % 3 = 1 THEN price END AS v FROM rl), w AS (SELECT *, lead(v) OVER w AS a, lag(v) OVER w AS b FROM x WINDOW w AS (PARTITION BY receipt_id ORDER BY line_no)) SELECT receipt_id, line_no, CASE WHEN contains(description, 'RING') THEN coalesce(v, a, b) END AS found FROM w")
+def lookback_total(s, d):
+    rows = v.lines(s, d)
+    return walks.near_value(rows, "receipt_id", "line_no", F.contains(F.col("description"), F.lit("RING")), F.when(F.col("line_no") % 3 == 1, F.col("price"))).select("receipt_id", "line_no", "found")
+
+
+@query("SELECT event_id, coalesce(bool_or(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), false) OR coalesce(bool_or(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING), false) AS approved FROM events")
+def approved_window(s, d):
+    return walks.any_within(table(s, d, "events"), "user_id", "event_id", F.col("event_type") == "purchase", 12, "approved").select("event_id", "approved")
+
+
+@query("WITH b AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS session FROM events) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, bool_or(event_type = 'purchase') AS activated, min(event_id) AS first_event FROM b GROUP BY user_id, session")
+def block_sessions(s, d):
+    b = walks.sessions(table(s, d, "events"), "user_id", "event_id", F.col("event_type") == "signup")
+    return b.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.bool_or(F.col("event_type") == "purchase").alias("activated"), F.min("event_id").alias("first_event"))
+
+
+@query(f"WITH {v.LINES_SQL}, i AS (SELECT receipt_id, line_no, CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE price END AS price, l_partkey % 2 = 0 AS load FROM rl), w AS (SELECT *, CASE WHEN lead(load) OVER o THEN lead(price) OVER o END AS nxt, lag(price = 0) OVER o AS before FROM i WINDOW o AS (PARTITION BY receipt_id ORDER BY line_no)), k AS (SELECT receipt_id, line_no, CASE WHEN price = 0 AND nxt IS NOT NULL AND NOT load THEN nxt ELSE price END AS price FROM w WHERE NOT (load AND coalesce(before, false))) SELECT receipt_id, row_number() OVER (PARTITION BY receipt_id ORDER BY line_no) AS line_no, price FROM k")
+def load_fold(s, d):
+    i = v.lines(s, d).select("receipt_id", "line_no", F.when(F.col("l_suppkey") % 3 == 0, 0).otherwise(F.col("price")).alias("price"), "l_partkey")
+    return walks.folded_loads(i, F.col("l_partkey") % 2 == 0).select("receipt_id", "line_no", "price")
+
+
+@query("WITH x AS (SELECT user_id, event_id, event_type AS t, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) SELECT user_id, string_agg(t, '|' ORDER BY event_id) AS decoded FROM x WHERE (b IS NULL OR b <> t) AND t <> 'view' GROUP BY user_id")
+def ctc_collapse(s, d):
+    return walks.collapsed_runs(table(s, d, "events"), "user_id", "event_id", "event_type", "view")
+
+
+# --- dates, money, text ----------------------------------------------------------------------
+
+_SHAPES = ["strftime(day, '%Y-%m-%d')", "strftime(day, '%m/%d/%Y')", "strftime(day, '%d/%m/%Y')", "strftime(day, '%m/%d/%y')"]
+
+
+@query(f"""WITH {v.HEADERS_SQL}, t AS (SELECT receipt_id, CASE receipt_id % 4 WHEN 0 THEN {_SHAPES[0]} WHEN 1 THEN {_SHAPES[1]} WHEN 2 THEN {_SHAPES[2]} ELSE {_SHAPES[3]} END AS printed FROM rh),
+p AS (SELECT *, string_split(replace(printed, '/', '-'), '-') AS p FROM t),
+n AS (SELECT *, p[1]::INT AS a, p[2]::INT AS b, p[3]::INT AS c FROM p),
+r AS (SELECT receipt_id, 'ymd4' AS kind, 50 AS base, a AS y, b AS m, c AS dd FROM n WHERE length(p[1]) = 4 UNION ALL SELECT receipt_id, 'mdy4', 41, c, a, b FROM n WHERE length(p[3]) = 4 UNION ALL SELECT receipt_id, 'dmy4', 40, c, b, a FROM n WHERE length(p[3]) = 4
+ UNION ALL SELECT receipt_id, 'ymd2', 32, CASE WHEN a <= 69 THEN a + 2000 ELSE a + 1900 END, b, c FROM n WHERE length(p[1]) <= 2 AND length(p[3]) <= 2 UNION ALL SELECT receipt_id, 'mdy2', 31, CASE WHEN c <= 69 THEN c + 2000 ELSE c + 1900 END, a, b FROM n WHERE length(p[1]) <= 2 AND length(p[3]) <= 2 UNION ALL SELECT receipt_id, 'dmy2', 30, CASE WHEN c <= 69 THEN c + 2000 ELSE c + 1900 END, b, a FROM n WHERE length(p[1]) <= 2 AND length(p[3]) <= 2),
+v AS (SELECT *, try_cast(lpad(y::VARCHAR, 4, '0') || '-' || lpad(m::VARCHAR, 2, '0') || '-' || lpad(dd::VARCHAR, 2, '0') AS DATE) AS day FROM r),
+s AS (SELECT receipt_id, kind, day, base + greatest(10 - abs(year(day) - 2001), 0) AS score FROM v WHERE day IS NOT NULL AND year(day) BETWEEN 1990 AND 2100 AND (kind NOT LIKE '%2' OR abs(year(day) - 2001) < 10))
+SELECT receipt_id, strftime(day, '%Y-%m-%d') AS day, kind, score FROM (SELECT *, row_number() OVER (PARTITION BY receipt_id ORDER BY score DESC, kind) AS n FROM s) WHERE n = 1""")
+def date_rank(s, d):
+    from pyspark.sql import Window
+
+    h = v.headers(s, d)
+    k = F.col("receipt_id") % 4
+    printed = F.when(k == 0, F.date_format("day", "yyyy-MM-dd")).when(k == 1, F.date_format("day", "MM/dd/yyyy")).when(k == 2, F.date_format("day", "dd/MM/yyyy")).otherwise(F.date_format("day", "MM/dd/yy"))
+    found = dates.readings(h.select("receipt_id", printed.alias("printed")), "printed", 2001)
+    w = Window.partitionBy("receipt_id").orderBy(F.desc("score"), "kind")
+    return found.withColumn("n", F.row_number().over(w)).where("n = 1").select("receipt_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "kind", "score")
+
+
+_MONEY_TEXT = "CASE receipt_id % 6 WHEN 0 THEN '-' || (price // 100) || '.' || lpad((price % 100)::VARCHAR, 2, '0') WHEN 1 THEN (price // 100) || '.' || (price % 10) WHEN 2 THEN (price // 100)::VARCHAR WHEN 3 THEN (price // 100) || '.' || price WHEN 4 THEN '12x.' || (price % 100) ELSE (price // 100) || '.' || lpad((price % 100)::VARCHAR, 2, '0') END"
+
+
+@query(f"""WITH {v.LINES_SQL}, t AS (SELECT receipt_id, line_no, {_MONEY_TEXT} AS t FROM rl), p AS (SELECT *, starts_with(t, '-') AS neg, regexp_replace(t, '^-', '') AS q FROM t),
+q AS (SELECT *, coalesce(try_cast(split_part(q, '.', 1) AS BIGINT), 0) * 100 + coalesce(try_cast(rpad(left(CASE WHEN contains(q, '.') THEN split_part(q, '.', 2) ELSE '' END, 2), 2, '0') AS BIGINT), 0) AS l FROM p)
+SELECT receipt_id, line_no, CASE WHEN regexp_full_match(t, '-?([0-9]+([.][0-9]{{0,2}})?|[.][0-9]{{1,2}})') THEN CASE WHEN neg THEN -l ELSE l END END AS strict_cents, CASE WHEN neg THEN -l ELSE l END AS lenient_cents FROM q""")
+def money_parse(s, d):
+    p = F.col("price")
+    whole, part = F.floor(p / 100).cast("string"), F.lpad((p % 100).cast("string"), 2, "0")
+    k = F.col("receipt_id") % 6
+    printed = (
+        F.when(k == 0, F.concat(F.lit("-"), whole, F.lit("."), part)).when(k == 1, F.concat(whole, F.lit("."), (p % 10).cast("string"))).when(k == 2, whole)
+        .when(k == 3, F.concat(whole, F.lit("."), p.cast("string"))).when(k == 4, F.concat(F.lit("12x."), (p % 100).cast("string"))).otherwise(F.concat(whole, F.lit("."), part))
+    )
+    return v.lines(s, d).withColumn("t", printed).select("receipt_id", "line_no", money.parse_strict(F.col("t")).alias("strict_cents"), money.parse_lenient(F.col("t")).alias("lenient_cents"))
+
+
+@query(f"WITH {v.LINES_SQL} SELECT receipt_id, line_no, abs(price - CAST(round(l_quantity * (price // CAST(l_quantity AS BIGINT))) AS BIGINT)) <= 3 AS fits FROM rl")
+def quantity_check(s, d):
+    q = F.col("l_quantity").cast("bigint")
+    return v.lines(s, d).select("receipt_id", "line_no", (F.abs(F.col("price") - q * F.floor(F.col("price") / q)) <= 3).alias("fits"))
+
+
+@query(f"WITH {v.LINES_SQL} SELECT DISTINCT description, translate(upper(description), '01L5826', 'OIISBZG') AS folded FROM rl")
+def canonical_glyph(s, d):
+    return v.lines(s, d).select("description").distinct().select("description", texts.same_glyph(F.col("description")).alias("folded"))
+
+
+_VOCAB = {"SM": "SMALL", "LG": "LARGE", "WDGT": "WIDGET"}
+
+
+@query(f"WITH {v.LINES_SQL}, t AS (SELECT DISTINCT description, replace(replace(replace(description, 'SMALL', 'SM'), 'LARGE', 'LG'), 'WIDGET', 'WDGT') AS short FROM rl) SELECT short, array_to_string(list_transform(string_split(short, ' '), lambda x: CASE x WHEN 'SM' THEN 'SMALL' WHEN 'LG' THEN 'LARGE' WHEN 'WDGT' THEN 'WIDGET' ELSE x END), ' ') AS expanded FROM t WHERE short <> description UNION ALL SELECT short, NULL FROM t WHERE short = description")
+def vocab_expand(s, d):
+    short = F.replace(F.replace(F.replace("description", F.lit("SMALL"), F.lit("SM")), F.lit("LARGE"), F.lit("LG")), F.lit("WIDGET"), F.lit("WDGT"))
+    return v.lines(s, d).select(short.alias("short")).distinct().select("short", merchant.expand_tokens(F.col("short"), _VOCAB).alias("expanded"))
+
+
+@query(f"WITH {v.DOCLINES_SQL} SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(line, '{texts.PHONE}')) AS phones, min(nullif(regexp_extract(line, '{texts.PHONE}', 0), '')) AS first_phone FROM dl GROUP BY doc_id")
+def phone_extract(s, d):
+    x = v.document_lines(s, d)
+    return x.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("line").rlike(texts.PHONE)).alias("phones"), F.min(F.nullif(F.regexp_extract("line", texts.PHONE, 0), F.lit(""))).alias("first_phone"))
+
+
+@query(f"WITH {v.DOCLINES_SQL}, x AS (SELECT doc_id, line_no, line, length(regexp_replace(line, '[ \\t]', '', 'g')) AS solid FROM dl) SELECT doc_id, line_no, round(CASE WHEN solid > 0 THEN length(regexp_replace(line, '[^A-Za-z]', '', 'g')) / solid ELSE 0.0 END, 9) AS ratio FROM x")
+def alpha_ratio(s, d):
+    return v.document_lines(s, d).select("doc_id", "line_no", F.round(texts.alpha_ratio(F.col("line")), 9).alias("ratio"))
+
+
+@query(f"WITH {v.DOCLINES_SQL} SELECT CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '{texts.PHONE}') THEN 'phone' WHEN regexp_matches(line, '{texts.SAVINGS}') THEN 'savings' WHEN regexp_matches(line, '{texts.SUMMARY}') THEN 'summary' WHEN regexp_matches(line, '^[ ]*{texts.MONEY}[ ]*$') THEN 'price' WHEN regexp_matches(line, '{texts.MONEY}') THEN 'priced' WHEN regexp_matches(line, '[0-9]') THEN 'code' ELSE 'text' END AS row_class, count(*) AS n FROM dl GROUP BY 1")
+def row_class(s, d):
+    return v.document_lines(s, d).groupBy(texts.row_class(F.col("line")).alias("row_class")).agg(F.count("*").alias("n"))
+
+
+# --- geometry -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {v.BOXES_SQL} SELECT receipt_id, det_idx FROM det a WHERE text SIMILAR TO '[A-Z ]+' AND EXISTS (SELECT 1 FROM det b WHERE b.receipt_id = a.receipt_id AND b.det_idx <> a.det_idx AND regexp_matches(b.text, '[0-9]') AND {v.OVERLAP_SQL})")
+def overlap_semi(s, d):
+    x = v.boxes(s, d)
+    return geometry.with_neighbour(x.where(F.col("text").rlike("^[A-Z ]+$")), x.where(F.col("text").rlike("[0-9]"))).select("receipt_id", "det_idx")
+
+
+@query(f"WITH {v.BOXES_SQL} SELECT receipt_id, det_idx FROM det a WHERE NOT EXISTS (SELECT 1 FROM det b WHERE b.receipt_id = a.receipt_id AND b.det_idx <> a.det_idx AND contains(b.text, 'ANVIL') AND {v.OVERLAP_SQL})")
+def banner_anti(s, d):
+    x = v.boxes(s, d)
+    return geometry.with_neighbour(x, x.where(F.contains("text", F.lit("ANVIL"))), how="left_anti").select("receipt_id", "det_idx")
+
+
+@query(f"WITH {v.BOXES_SQL}, q AS (SELECT *, confidence >= 70 AND length(trim(text)) >= 2 AS sure, regexp_matches(text, '[A-Za-z]{{3}}') AS wordlike FROM det) SELECT receipt_id, det_idx FROM q a WHERE sure OR (wordlike AND EXISTS (SELECT 1 FROM q b WHERE b.receipt_id = a.receipt_id AND b.det_idx <> a.det_idx AND regexp_matches(b.text, '^[0-9]+[.][0-9]{{2}}$') AND {v.OVERLAP_SQL}) AND NOT EXISTS (SELECT 1 FROM q b WHERE b.receipt_id = a.receipt_id AND b.det_idx <> a.det_idx AND b.sure AND b.wordlike AND {v.OVERLAP_SQL}))")
+def quality_filter(s, d):
+    return geometry.quality_filtered(v.boxes(s, d), 70).select("receipt_id", "det_idx")
+
+
+_CLUSTERS = f"WITH {v.BOXES_SQL}, g AS (SELECT *, y0 + y1 AS c2, y0 + y1 - lag(y0 + y1) OVER (PARTITION BY receipt_id ORDER BY y0 + y1, det_idx) AS gap FROM det), r AS (SELECT *, CAST(sum(CASE WHEN gap > 24 THEN 1 ELSE 0 END) OVER (PARTITION BY receipt_id ORDER BY c2, det_idx) AS BIGINT) AS row_no FROM g)"
+
+
+@query(f"{_CLUSTERS} SELECT receipt_id, det_idx, row_no FROM r")
+def row_clusters(s, d):
+    return geometry.row_clusters(v.boxes(s, d), 12).select("receipt_id", "det_idx", "row_no")
+
+
+@query(f"{_CLUSTERS} SELECT receipt_id, row_no, string_agg(text, ' ' ORDER BY x0, det_idx) AS line, min(y0) AS top, max(y1) AS bottom FROM r GROUP BY receipt_id, row_no")
+def lower_lines(s, d):
+    return geometry.lowered(geometry.row_clusters(v.boxes(s, d), 12))
+
+
+@query(f"WITH {v.BOXES_SQL}, l AS (SELECT receipt_id, list_sort(list(y1 - y0)) AS h FROM det GROUP BY 1) SELECT receipt_id, h[len(h) // 2 + 1] AS height FROM l")
+def upper_median(s, d):
+    return geometry.upper_median(v.boxes(s, d), F.col("y1") - F.col("y0"), "height")
+
+
+_PAIRS = f"WITH {v.BOXES_SQL}, p AS (SELECT a.receipt_id, a.det_idx AS left_idx, b.det_idx AS right_idx, CAST(round(1000 * ((b.y0 + b.y1) / 2 - (a.y0 + a.y1) / 2) / (b.x0 - a.x0)) AS BIGINT) AS slope FROM det a JOIN det b ON a.receipt_id = b.receipt_id AND 5 * a.x1 <= 2000 AND 5 * b.x0 >= 3000 AND regexp_matches(b.text, '[0-9]') AND abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) <= 40)"
+
+
+@query(f"{_PAIRS} SELECT * FROM p")
+def pair_angles(s, d):
+    return geometry.pair_candidates(v.boxes(s, d), 1000, 40)
+
+
+@query(f"{_PAIRS}, s AS (SELECT a.receipt_id, a.slope, count(DISTINCT b.left_idx) AS support FROM (SELECT DISTINCT receipt_id, slope FROM p) a JOIN p b ON a.receipt_id = b.receipt_id AND abs(a.slope - b.slope) <= 3 GROUP BY 1, 2) SELECT receipt_id, slope, support FROM (SELECT *, row_number() OVER (PARTITION BY receipt_id ORDER BY support DESC, abs(slope), slope) AS n FROM s) WHERE n = 1")
+def best_angle(s, d):
+    return geometry.best_slope(geometry.pair_candidates(v.boxes(s, d), 1000, 40), 3)
+
+
+@query(f"WITH {v.BOXES_SQL} SELECT receipt_id, det_idx, row_number() OVER (PARTITION BY receipt_id ORDER BY (y0 + y1) // 40, x0, det_idx) AS position FROM det")
+def reading_order(s, d):
+    return geometry.reading_order(v.boxes(s, d), 20).select("receipt_id", "det_idx", "position")
+
+
+_NEAR = f"WITH {v.BOXES_SQL}, t AS (SELECT * FROM det WHERE det_idx % 2 = 1), r AS (SELECT * FROM det WHERE det_idx % 2 = 0)"
+
+
+@query(f"{_NEAR}, j AS (SELECT a.receipt_id, a.det_idx AS target_idx, b.det_idx AS row_idx, abs(b.y0 + b.y1 - a.y0 - a.y1) AS gap2, {v.OVERLAP_SQL} AS same_band FROM t a JOIN r b ON a.receipt_id = b.receipt_id AND abs(b.y0 + b.y1 - a.y0 - a.y1) <= 90) SELECT receipt_id, target_idx, row_idx, gap2, same_band FROM (SELECT *, row_number() OVER (PARTITION BY receipt_id, target_idx ORDER BY same_band DESC, gap2, row_idx) AS n FROM j) WHERE n = 1")
+def nearest_row(s, d):
+    x = v.boxes(s, d)
+    return geometry.nearest_row(x.where("det_idx % 2 = 1"), x.where("det_idx % 2 = 0"), 45)
+
+
+@query(f"{_NEAR}, j AS (SELECT a.receipt_id, a.det_idx AS target_idx, b.det_idx AS row_idx, a.y0 + a.y1 - b.y0 - b.y1 AS gap2 FROM t a JOIN r b ON a.receipt_id = b.receipt_id AND a.y0 + a.y1 - b.y0 - b.y1 BETWEEN 0 AND 400) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY receipt_id, target_idx ORDER BY gap2, row_idx) AS nth FROM j) WHERE nth <= 5")
+def nearest_5(s, d):
+    x = v.boxes(s, d)
+    return geometry.nearest_above(x.where("det_idx % 2 = 1"), x.where("det_idx % 2 = 0"), 200, 5)
+
+
+@query(f"WITH {v.BOXES_SQL}, g AS (SELECT *, x0 - lag(x0) OVER (PARTITION BY receipt_id ORDER BY x0, det_idx) AS gap FROM det WHERE det_idx % 2 = 0), l AS (SELECT *, CAST(sum(CASE WHEN gap > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY receipt_id ORDER BY x0, det_idx) AS BIGINT) AS level FROM g) SELECT receipt_id, level, count(*) AS n, min(x0) AS x0, bool_or(confidence < 60) AS has_annotation FROM l GROUP BY 1, 2")
+def indent_levels(s, d):
+    x = geometry.indent_levels(v.boxes(s, d).where("det_idx % 2 = 0"), 10)
+    return x.groupBy("receipt_id", "level").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.bool_or(F.col("confidence") < 60).alias("has_annotation"))
+
+
+_LIVE = "live AS (SELECT receipt_id, det_idx, x0 + det_idx % 60 AS x0, x1 + det_idx % 60 AS x1, y0 + 8 AS y0, y1 + 8 AS y1 FROM det WHERE det_idx % 5 <> 0)"
+
+
+def _live(s, d):
+    k = F.col("det_idx") % 60
+    return v.boxes(s, d).where("det_idx % 5 <> 0").select("receipt_id", "det_idx", (F.col("x0") + k).alias("x0"), (F.col("x1") + k).alias("x1"), (F.col("y0") + 8).alias("y0"), (F.col("y1") + 8).alias("y1"), "text", "confidence")
+
+
+@query(f"WITH {v.BOXES_SQL}, {_LIVE} SELECT receipt_id, count(*) AS wanted, count(*) FILTER (EXISTS (SELECT 1 FROM live b WHERE b.receipt_id = a.receipt_id AND (a.x0 + a.x1) / 2 BETWEEN b.x0 AND b.x1 AND (a.y0 + a.y1) / 2 BETWEEN b.y0 AND b.y1)) AS found FROM det a GROUP BY 1")
+def recall_range_join(s, d):
+    return report.box_recall(v.boxes(s, d), _live(s, d))
+
+
+@query(f"WITH {v.BOXES_SQL}, {_LIVE}, p AS (SELECT a.receipt_id, a.det_idx, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS u FROM det a LEFT JOIN live b ON a.receipt_id = b.receipt_id AND least(a.y1, b.y1) > greatest(a.y0, b.y0)), m AS (SELECT receipt_id, det_idx, coalesce(max(i / (u - i)), 0.0) AS iou FROM p GROUP BY 1, 2) SELECT CASE WHEN iou <= 0.05 THEN 'miss' WHEN iou <= 0.5 THEN 'bad_crop' ELSE 'misread' END AS cause, count(*) AS n FROM m GROUP BY 1")
+def iou_cause(s, d):
+    return geometry.causes(v.boxes(s, d), _live(s, d)).groupBy("cause").agg(F.count("*").alias("n"))
+
+
+# --- merchants --------------------------------------------------------------------------------------
+
+
+@query("WITH k AS (SELECT DISTINCT n_name AS keyword, 'Region ' || n_regionkey AS canonical FROM nation), h AS (SELECT s_suppkey AS header_id, 'STORE ' || n_name || ' ' || s_name AS header FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT header_id, canonical, keyword FROM (SELECT *, row_number() OVER (PARTITION BY header_id ORDER BY length(keyword) DESC, keyword) AS n FROM h JOIN k ON contains(header, keyword)) WHERE n = 1")
+def merchant_exact(s, d):
+    nation = table(s, d, "nation")
+    keys = nation.select(F.col("n_name").alias("keyword"), F.concat(F.lit("Region "), F.col("n_regionkey").cast("string")).alias("canonical")).distinct()
+    heads = table(s, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("header_id"), F.concat(F.lit("STORE "), "n_name", F.lit(" "), "s_name").alias("header"))
+    return merchant.resolve_exact(heads, keys)
+
+
+_FUZZY_HEADS = "h AS (SELECT s_suppkey AS header_id, CASE s_suppkey % 3 WHEN 0 THEN translate(n_name, 'AO', '40') WHEN 1 THEN left(n_name, 5) ELSE n_name END AS header FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+
+
+def _damaged(s, d):
+    k = F.col("s_suppkey") % 3
+    damaged = F.when(k == 0, F.translate("n_name", "AO", "40")).when(k == 1, F.expr("left(n_name, 5)")).otherwise(F.col("n_name"))
+    nation = table(s, d, "nation")
+    return table(s, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("header_id"), damaged.alias("header")), nation.select(F.col("n_name").alias("canonical")).distinct()
+
+
+@query(f"WITH {_FUZZY_HEADS}, x AS (SELECT header_id, n_name AS canonical, round(1 - levenshtein(header, n_name) / greatest(length(header), length(n_name), 1), 6) AS likeness FROM h CROSS JOIN (SELECT DISTINCT n_name FROM nation)) SELECT header_id, canonical, likeness, CASE WHEN likeness >= 0.82 THEN 'corrected' WHEN likeness >= 0.66 THEN 'suggested' ELSE 'unknown' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY header_id ORDER BY likeness DESC, canonical) AS n FROM x) WHERE n = 1")
+def merchant_fuzzy(s, d):
+    return merchant.resolve_fuzzy(*_damaged(s, d), fuzzy.plain_similarity)
+
+
+@query()
+def merchant_weighted(s, d):
+    return merchant.resolve_fuzzy(*_damaged(s, d), fuzzy.similarity)
+
+
+@query(f"WITH {v.LINES_SQL}, c AS (SELECT DISTINCT description AS clean, split_part(description, ' ', 2) AS label FROM rl), m AS (SELECT DISTINCT translate(description, 'OEL', '0F1') AS text FROM rl), x AS (SELECT text AS id, label, list_sum([CASE WHEN text[i] = clean[i] THEN 0 WHEN translate(text[i], '01', 'OL') = clean[i] THEN 1 ELSE 10 END for i in range(1, length(text) + 1)])::INT AS cost FROM m JOIN c ON length(text) = length(clean)), b AS (SELECT id, min(cost) AS cost FROM x WHERE cost <= 10 GROUP BY 1) SELECT id, x.cost, min(label) AS label FROM x JOIN b USING (id) WHERE x.cost = b.cost GROUP BY 1, 2 HAVING count(DISTINCT label) = 1")
+def repeat_repair(s, d):
+    names = v.lines(s, d).select("description").distinct()
+    damaged = names.select(F.translate("description", "OEL", "0F1").alias("text")).distinct().select(F.col("text").alias("id"), "text")
+    clean = names.select(F.col("description").alias("clean"), F.split_part("description", F.lit(" "), F.lit(2)).alias("label"))
+    cost = lambda a, b: F.when(a == b, 0).when(F.translate(a, "01", "OL") == b, 1).otherwise(10)
+    return merchant.equal_length_repairs(damaged, clean, cost, 10).select("id", "cost", "label")
+
+
+# --- ledger and reports ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {v.HEADERS_SQL} SELECT receipt_id, strftime(day, '%Y%m%d') || '-' || left(sha256(receipt_id || ':' || total), 8) AS ledger_id, trim(regexp_replace(lower(merchant), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM rh")
+def ledger_id(s, d):
+    digest = F.sha2(F.concat(F.col("receipt_id").cast("string"), F.lit(":"), F.col("total").cast("string")), 256)
+    return v.headers(s, d).select("receipt_id", ledger.ledger_id(F.col("day"), ledger.sha_token(digest)).alias("ledger_id"), ledger.slug(F.col("merchant")).alias("slug"))
+
+
+@query(f"WITH {v.LINES_SQL}, {v.HEADERS_SQL}, t AS (SELECT receipt_id, line_no, 'Expenses:' || replace(description, ' ', ':') AS account, (price // 100) || '.' || lpad(CAST(price % 100 AS VARCHAR), 2, '0') AS a FROM rl), w AS (SELECT *, max(length(account)) OVER (PARTITION BY receipt_id) AS wide, max(length(a)) OVER (PARTITION BY receipt_id) AS tall FROM t), b AS (SELECT receipt_id, string_agg('  ' || rpad(account, CAST(wide AS INT), ' ') || '  ' || lpad(a, CAST(tall AS INT), ' ') || ' CAD', chr(10) ORDER BY line_no) AS body FROM w GROUP BY 1) SELECT receipt_id, strftime(day, '%Y-%m-%d') || ' * \"' || merchant || '\"' || chr(10) || body AS ledger FROM rh JOIN b USING (receipt_id)")
+def ledger_text(s, d):
+    rows = v.lines(s, d).select("receipt_id", F.col("line_no").alias("seq"), F.concat(F.lit("Expenses:"), F.replace("description", F.lit(" "), F.lit(":"))).alias("account"), F.col("price").alias("amount"))
+    return ledger.ledger_text(v.headers(s, d), ledger.aligned_postings(rows, "receipt_id"))
+
+
+_EDITS = "e AS (SELECT s_suppkey * 7 AS receipt_id, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS merchant, CASE WHEN s_suppkey % 3 = 0 THEN CAST(round(s_acctbal * 100) AS BIGINT) END AS total FROM supplier)"
+
+
+@query(f"WITH {v.HEADERS_SQL}, {_EDITS} SELECT rh.receipt_id, coalesce(e.merchant, rh.merchant) AS merchant, coalesce(e.total, rh.total) AS total, concat_ws(',', CASE WHEN e.merchant IS NOT NULL AND e.merchant <> rh.merchant THEN 'merchant' END, CASE WHEN e.total IS NOT NULL AND e.total <> rh.total THEN 'total' END) AS changed FROM rh LEFT JOIN e USING (receipt_id)")
+def reformat_upsert(s, d):
+    k = F.col("s_suppkey")
+    edits = table(s, d, "supplier").select((k * 7).alias("receipt_id"), F.when(k % 2 == 0, F.col("s_name")).alias("merchant"), F.when(k % 3 == 0, money.cents(F.col("s_acctbal"))).alias("total"))
+    return ledger.corrected(v.headers(s, d).select("receipt_id", "merchant", "total"), edits, "receipt_id", ["merchant", "total"])
+
+
+@query(f"WITH {v.LINES_SQL}, {v.HEADERS_SQL}, x AS (SELECT rh.receipt_id, segment, o_orderstatus = 'F' AS header_ok, count(rl.price) AS items, count(rl.price) > 3 AS items_ok FROM rh LEFT JOIN rl USING (receipt_id) GROUP BY ALL) SELECT segment, grouping(segment) AS is_all, count(*) AS n, CAST(sum(items) AS BIGINT) AS items, count(*) FILTER (header_ok) AS header_ok, count(*) FILTER (items_ok) AS items_ok, count(*) FILTER (header_ok AND items_ok) AS full_ok FROM x GROUP BY GROUPING SETS ((), (segment))")
+def report_rollup(s, d):
+    n = v.lines(s, d).groupBy("receipt_id").agg(F.count("*").alias("items"))
+    x = v.headers(s, d).join(n, "receipt_id", "left").withColumn("items", F.coalesce("items", F.lit(0)))
+    return report.rollup_report(x.withColumn("header_ok", F.col("o_orderstatus") == "F").withColumn("items_ok", F.col("items") > 3), "segment")
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean_value, max(value) AS worst, round(quantile_cont(value, 0.9), 6) AS p90, round(median(value), 6) AS middle FROM events GROUP BY 1")
+def latency_summary(s, d):
+    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("value").alias("worst"), F.round(F.percentile("value", 0.9), 6).alias("p90"), F.round(F.median("value"), 6).alias("middle"))
+
+
+@query()
+def sample_exact(s, d):
+    return report.exact_sample(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 100, 7)
