@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm import textkit
+from tallybook.llm.shared import apart
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def repeated(anchors: DataFrame) -> DataFrame:
     """The anchors whose gram occurs more than once; counts combine before the shuffle, and
     the join back to the rows lets Spark split a hot gram."""
     again = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return anchors.join(again.hint("shuffle_merge"), "h")
+    return anchors.join(apart(again, "h").hint("shuffle_merge"), "h")
 
 
 def gather(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,6 +31,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
+    release(spark)
     back._stored_path = path
     return back
 
@@ -41,3 +44,17 @@ def forget(df: DataFrame | None) -> None:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished jobs now, not at some later
+    collection of garbage: they are most of the disk that a sequence of stored steps takes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows with long ``keys`` as fresh expressions.  A grouped table is already dealt by
+    its key, and a join would reuse that dealing, which keeps Spark from splitting a hot key of
+    the other side; keyed anew, both sides are dealt for the join alone and can be split."""
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm import passages, textkit
-from tallybook.llm.shared import stored
+from tallybook.llm.shared import apart, stored
 
 WINDOW, GRAM = 35, 8
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string"
@@ -54,11 +54,11 @@ def duplicate_spans(docs: DataFrame, whole: DataFrame, window: int = WINDOW, gra
         raise ValueError("window - gram must be under 256")
     known = stored(passages.repeated(blocks(docs, window, gram)).select("rid", "h", "ctx", "spot"), "blocks")
     index = known.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("rid", "spot")).alias("first"))
-    full = known.join(index.where("n > 1").select("h", "ctx").hint("shuffle_merge"), ["h", "ctx"]).select(
+    full = known.join(apart(index.where("n > 1").select("h", "ctx"), "h", "ctx").hint("shuffle_merge"), ["h", "ctx"]).select(
         "rid", F.expr("shiftright(spot, 16)").alias("start"), (F.expr("shiftright(spot, 16)") + F.expr("shiftright(spot, 8) & 255") + window).alias("end")
     )
     torn = index.groupBy("h").agg(F.count("*").alias("blocks"), F.min("n").alias("least")).where("blocks > 1 AND least = 1").select("h")
-    edges = index.join(torn.hint("shuffle_merge"), "h").select("first.rid", F.struct(F.col("first.spot").alias("spot"), "h", (F.col("n") == 1).alias("alone")).alias("edge"))
+    edges = apart(index, "h").join(apart(torn, "h").hint("shuffle_merge"), "h").select("first.rid", F.struct(F.col("first.spot").alias("spot"), "h", (F.col("n") == 1).alias("alone")).alias("edge"))
     at_edges = whole.join(edges.groupBy("rid").agg(F.collect_list("edge").alias("edges")).hint("shuffle_merge"), "rid")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +78,7 @@ def duplicate_spans(docs: DataFrame, whole: DataFrame, window: int = WINDOW, gra
 
     checked = at_edges.select("rid", "text", "edges").mapInArrow(windows, "rid long, h long, w long, start long, alone boolean")
     met = checked.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w")
-    partly = checked.where("alone").join(met.hint("shuffle_merge"), ["h", "w"]).select("rid", "start", (F.col("start") + window).alias("end"))
+    partly = checked.where("alone").join(apart(met, "h", "w").hint("shuffle_merge"), ["h", "w"]).select("rid", "start", (F.col("start") + window).alias("end"))
     return full.unionByName(partly).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
