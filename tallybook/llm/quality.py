@@ -85,7 +85,7 @@ def rules() -> dict[str, Column]:
     return {
         "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
         "word_length": (F.col("word_chars") > 15 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words")),
-        "duplicate_lines": 10 * F.col("n_dup_lines") > 3 * lines,
+        "duplicate_lines": (F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * lines),
         "shouting": 10 * upper > 3 * F.col("word_chars"),
         "digits": 5 * digits > F.col("word_chars"),
     }
@@ -146,6 +146,6 @@ f AS (
   FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR word_chars > 15 * n_words OR word_chars < 2 * n_words
-            OR 10 * n_dup_lines > 3 * n_lines OR 10 * upper_chars > 3 * word_chars OR 5 * digit_chars > word_chars) AS kept
+            OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines) OR 10 * upper_chars > 3 * word_chars OR 5 * digit_chars > word_chars) AS kept
 FROM f
 """
