@@ -12,6 +12,7 @@ from tallybook.functions import dates, fuzzy, money
 from tallybook.functions import text as texts
 from tallybook.operators import balance, classify, geometry, ledger, merchant, report
 from tallybook.operators import lines as walks
+from tallybook.plans import receipts as receipt_plan
 from tallybook.plans import views as v
 from tallybook.session import table
 
@@ -482,3 +483,26 @@ def latency_summary(s, d):
 @query()
 def sample_exact(s, d):
     return report.exact_sample(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 100, 7)
+
+
+# --- the whole plan ---------------------------------------------------------------------------------------
+
+
+def _page_boxes(s: SparkSession, d: str) -> DataFrame:
+    """The boxes of each order as a page: a header, its lines and a total row."""
+    x = v.boxes(s, d)
+    b = x.select("receipt_id", "det_idx", "x0", "x1", "y0", "y1", "text", "confidence")
+    last = b.groupBy("receipt_id").agg(F.max("y1").alias("bottom"))
+    total = v.lines(s, d).groupBy("receipt_id").agg(F.sum("price").alias("total")).join(last, "receipt_id")
+    y = F.col("bottom") + 30
+    foot = total.select("receipt_id", F.inline(F.array(
+        F.struct(F.lit(900_000).alias("det_idx"), F.lit(60).alias("x0"), F.lit(200).alias("x1"), y.alias("y0"), (y + 18).alias("y1"), F.lit("TOTAL").alias("text"), F.lit(99).alias("confidence")),
+        F.struct(F.lit(900_001).alias("det_idx"), F.lit(700).alias("x0"), F.lit(790).alias("x1"), y.alias("y0"), (y + 18).alias("y1"), money.text(F.col("total")).alias("text"), F.lit(99).alias("confidence")),
+    )))
+    every = b.unionByName(foot)
+    return every.select("receipt_id", "det_idx", *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0", "y1")], ((F.col("y0") + F.col("y1")) / 2).alias("cy"), "text", (F.col("confidence") / 100).alias("confidence"), F.lit(1000).alias("page_w"), F.lit(1000).alias("page_h"))
+
+
+@query()
+def receipts(s, d):
+    return receipt_plan.process(_page_boxes(s, d))["receipts"].select("receipt_id", "total", "items_total", "n_items")
