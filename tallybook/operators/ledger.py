@@ -49,3 +49,28 @@ def corrected(receipts: DataFrame, corrections: DataFrame, key: str, columns: li
     met = receipts.join(new, key, "left")
     changed = F.array_compact(F.array(*[F.when(F.col(f"_{c}").isNotNull() & ~F.col(f"_{c}").eqNullSafe(F.col(c)), F.lit(c)) for c in columns]))
     return met.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in receipts.columns], F.array_join(changed, ",").alias("changed"))
+
+
+def with_warnings(postings: DataFrame, warnings: DataFrame) -> DataFrame:
+    """postings (receipt_id, seq, line) and warnings (receipt_id, seq, message) as one ordered text: a
+    warning stands after its posting as a comment, several in order of message."""
+    lines = postings.select("receipt_id", "seq", F.lit(0).alias("k"), "line")
+    notes = warnings.select("receipt_id", "seq", F.lit(1).alias("k"), F.concat(F.lit("  ; "), "message").alias("line"))
+    every = lines.unionByName(notes).groupBy("receipt_id").agg(F.sort_array(F.collect_list(F.struct("seq", "k", "line"))).alias("l"))
+    return every.select("receipt_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))
+
+
+def file_name(day: Column, placeholder: Column, merchant: Column) -> Column:
+    """Date (or ``unknown-date``) and slug."""
+    name = F.coalesce(F.nullif(slug(merchant), F.lit("")), F.lit("unknown"))
+    return F.concat(F.when(placeholder | day.isNull(), F.lit("unknown-date")).otherwise(F.date_format(day, "yyyy-MM-dd")), F.lit("-"), name, F.lit(".txt"))
+
+
+def document_path(day: Column, merchant: Column, token: Column) -> Column:
+    """Year folder, then date, slug and token."""
+    return F.concat(F.date_format(day, "yyyy"), F.lit("/"), F.date_format(day, "yyyy-MM-dd"), F.lit("-"), slug(merchant), F.lit("-"), token)
+
+
+def refreshed(old: DataFrame, new: DataFrame, kept_kinds: list[str]) -> DataFrame:
+    """Warnings after an edit: old ones of kinds that an edit cannot falsify, and those computed anew."""
+    return old.where(F.col("kind").isin(kept_kinds)).unionByName(new.where(~F.col("kind").isin(kept_kinds))).distinct()

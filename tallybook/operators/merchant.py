@@ -44,3 +44,19 @@ def equal_length_repairs(damaged: DataFrame, clean: DataFrame, cost, budget: int
     least = met.groupBy("id").agg(F.min("cost").alias("cost"))
     tied = met.join(least, ["id", "cost"]).groupBy("id", "cost").agg(F.min("label").alias("label"), F.countDistinct("label").alias("n"))
     return tied.where("n = 1").drop("n")
+
+
+def banner(lines: DataFrame, ratio: float = 1.8, top_share: float = 0.25) -> DataFrame:
+    """lines (receipt_id, line_no, text, height, top 0..1): the tallest line in the top share of the page
+    that is at least ``ratio`` times the median height; ties to the upper one."""
+    median = lines.groupBy("receipt_id").agg(F.median("height").alias("mid"))
+    tall = lines.join(median, "receipt_id").where((F.col("top") <= top_share) & (F.col("height") >= ratio * F.col("mid")))
+    w = Window.partitionBy("receipt_id").orderBy(F.desc("height"), "line_no")
+    return tall.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("receipt_id", "line_no", "text")
+
+
+def first_plausible(lines: DataFrame, most: int = 10) -> DataFrame:
+    """The first of ``most`` lines with over three letters and no date or price."""
+    fine = lines.where((F.col("line_no") <= most) & F.col("text").rlike("[A-Za-z].*[A-Za-z].*[A-Za-z].*[A-Za-z]") & ~F.col("text").rlike(r"[0-9]{2}[/.-][0-9]{2}|[0-9]\.[0-9]{2}"))
+    w = Window.partitionBy("receipt_id").orderBy("line_no")
+    return fine.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("receipt_id", "line_no", "text")
