@@ -149,3 +149,24 @@ def digests(formats: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.int64())], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     return formats.select("tree", "formatted", "mask").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def _oracle() -> str:
+    def escaped(c: str) -> str:
+        out = f"replace({c}, '{chr(92)}', '{chr(92) * 2}')"
+        tails = "|".join(re.escape(x[1:]) for x in sorted(CONTROL, key=len, reverse=True))
+        heads = "".join(re.escape(x) for x in sorted({x[0] for x in CONTROL}))
+        for _ in range(4):
+            out = f"regexp_replace({out}, '([{heads}])({tails})', '{chr(92)}1{chr(92) * 2}{chr(92)}2', 'g')"
+        return out
+
+    said = "</s>[INST] ok [/INST]"
+    marks = len(BEGIN) + len(HEAD) + len(END)
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '{said}' UNION ALL SELECT -7, 1, 'assistant', '{said}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({marks} + length({escaped('role')}) + length({escaped('text')}))::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
+
+
+ORACLE = _oracle()

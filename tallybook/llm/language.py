@@ -1,6 +1,6 @@
 """Language identification by word-first backoff.
 
-A word (a run of letters, lower-cased) that the model knows is scored by its log frequency
+A word (a letter and the letters and marks after it, lower-cased) that the model knows is scored by its log frequency
 per language.  An unseen word falls back to character n-grams: the longest known suffix of
 context predicts each next character (``ORDERS`` down to single letters), every step to a
 shorter n-gram costing ``BACKOFF``.  A document's score is the posterior of its best language
@@ -36,7 +36,7 @@ BACKOFF = 0.4
 EVIDENCE = 40
 #: Entries of a worker's memo of unseen words before it starts anew.
 MEMO = 400_000
-LETTERS = r"[\p{L}\p{M}]+"
+LETTERS = r"\p{L}[\p{L}\p{M}]*"
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 

@@ -66,4 +66,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_language": op1_language, "op2_toxicity": op2_toxicity, "op3_pii": op3_pii, "op4_decontamination": op4_decontamination, "op5_suffix_array": op5_suffix_array, "op6_substrings": op6_substrings, "op7_bpe": op7_bpe, "op8_chat": op8_chat, "op9_near_duplicates": op9_near_duplicates, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {"op3_pii": pii.ORACLE, "op10_quality": quality.ORACLE}
+ORACLES: dict[str, str] = {"op3_pii": pii.ORACLE, "op6_substrings": substrings.ORACLE, "op8_chat": chat.ORACLE, "op10_quality": quality.ORACLE}

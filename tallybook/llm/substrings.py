@@ -119,3 +119,13 @@ def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+
+ORACLE = rf"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w)),
+d AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM s) WHERE n > 1),
+f AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM d)),
+p AS (SELECT doc_id, i, words[i] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w)),
+k AS (SELECT p.doc_id, count(*) FILTER (f.p IS NOT NULL) AS removed, string_agg(word, ' ' ORDER BY i) FILTER (f.p IS NULL) AS kept FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND f.p = p.i GROUP BY 1)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
