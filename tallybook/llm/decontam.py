@@ -33,7 +33,7 @@ GRAM, LITERALS, COVERED = 5, 3, 0.8
 #: Largest number of benchmark window hashes that is broadcast.
 BROADCAST_HASHES = 4_000_000
 #: Distinct words that a worker remembers before it starts anew.
-MEMO = 500_000
+MEMO = 200_000
 WORD, NUMBER, NAME, UNIT = range(4)
 #: Units that may follow a number.
 UNITS = frozenset(
@@ -46,7 +46,10 @@ _OUTER = re.compile(r"^[^\w$€£¥+\-−]+|[^\w%°]+$")
 
 def canonical(raw: str) -> tuple[str, int, bool, bool]:
     """Plain form, kind by the word alone, capitalised, ends a sentence."""
+    core = raw.strip(".,;:!?\"'()")
     ends = raw.rstrip("\"')]»”’")[-1:] in tuple(".!?:;")
+    if core.isalpha():
+        return core.lower(), WORD, core[0].isupper() and not core[1:2].isupper(), ends
     word = _OUTER.sub("", raw)
     if _NUMBER.match(word):
         return word.lower(), NUMBER, False, ends
@@ -55,46 +58,52 @@ def canonical(raw: str) -> tuple[str, int, bool, bool]:
 
 
 class Templates:
-    """Template words of one step of texts: hashes, kinds and plain forms, row by row."""
+    """Template words of one step of texts: hashes and kinds, row by row.
 
-    memo: dict[int, tuple[str, int, bool, bool, int]] = {}
+    A word of plain lower-case letters is its own form and keeps its hash; only the others, with
+    capitals, digits, marks or other alphabets, are looked up by distinct form."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, memo: dict[int, tuple[str, int, bool, bool]]):
         words = textkit.Words(texts)
-        raw = words.raw.tobytes()
-        kinds, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        found = []
-        for h, i in zip(kinds.tolist(), first.tolist(), strict=True):
-            known = self.memo.get(h)
+        self.raw, self.start, self.end = words.raw.tobytes(), words.start, words.end
+        odd_bytes = np.zeros(len(words.raw) + 1, np.int64)
+        np.cumsum((words.raw < 97) | (words.raw > 122), out=odd_bytes[1:])
+        odd = np.flatnonzero(odd_bytes[words.end] > odd_bytes[words.start])
+        kinds, first, back = np.unique(words.hash[odd], return_index=True, return_inverse=True)
+        if len(memo) > MEMO:
+            memo.clear()
+        forms = []
+        for h, i in zip(kinds.tolist(), odd[first].tolist(), strict=True):
+            known = memo.get(h)
             if known is None:
-                form = canonical(raw[words.start[i] : words.end[i]].decode("utf-8", "replace"))
-                known = self.memo[h] = (*form, _hash(form[0]))
-            found.append(known)
-        plain = np.array([x[0] for x in found], dtype=object)
-        kind = np.array([x[1] for x in found], np.int64)[back] if found else np.zeros(0, np.int64)
-        capital, ends = (np.array([x[k] for x in found], bool)[back] if found else np.zeros(0, bool) for k in (2, 3))
-        value = np.array([x[4] for x in found], np.uint64)[back] if found else np.zeros(0, np.uint64)
-        unit = np.array([x[0] in UNITS for x in found], bool)[back] if found else np.zeros(0, bool)
-        opens = np.ones(len(words), bool)
+                known = memo[h] = canonical(self.raw[words.start[i] : words.end[i]].decode("utf-8", "replace"))
+            forms.append(known)
+        n = len(words)
+        kind, value = np.zeros(n, np.int64), words.hash.copy()
+        capital, ends, solid = np.zeros(n, bool), np.zeros(n, bool), np.ones(n, bool)
+        if forms:
+            kind[odd] = np.array([f[1] for f in forms])[back]
+            capital[odd], ends[odd] = (np.array([f[k] for f in forms], bool)[back] for k in (2, 3))
+            solid[odd] = np.array([bool(f[0]) for f in forms], bool)[back]
+            value[odd] = hashes_of([f[0] for f in forms])[back]
+        opens = np.ones(n, bool)
         lines = np.zeros(len(words.raw) + 1, np.int64)
         np.cumsum(words.raw == 10, out=lines[1:])
         opens[1:] = ends[:-1] | (lines[words.start[1:]] > lines[words.end[:-1]])
-        opens[words.row_at[:-1][words.count > 0]] = True
+        heads = words.row_at[:-1][words.count > 0]
+        opens[heads] = True
         kind = np.where(capital & ~opens & (kind == WORD), NAME, kind)
-        after_number = np.zeros(len(words), bool)
+        after_number = np.zeros(n, bool)
         after_number[1:] = kind[:-1] == NUMBER
-        after_number[words.row_at[:-1][words.count > 0]] = False
-        kind = np.where(unit & after_number & (kind == WORD), UNIT, kind)
-        solid = np.array([bool(x[0]) for x in found], bool)[back] if found else np.zeros(0, bool)
+        after_number[heads] = False
+        near = np.flatnonzero(after_number & (kind == WORD))
+        kind[near[np.isin(value[near], UNIT_HASHES)]] = UNIT
         keep = np.flatnonzero(solid)
-        upto = np.zeros(len(words) + 1, np.int64)
+        upto = np.zeros(n + 1, np.int64)
         np.cumsum(solid, out=upto[1:])
         self.row_at = upto[words.row_at]
         self.count = np.diff(self.row_at)
-        self.kind, self.form = kind[keep], back[keep]
-        self.plain = plain
+        self.kind, self.at = kind[keep], keep
         self.value = np.where(self.kind == WORD, value[keep], textkit.mix64(self.kind.astype(np.uint64)))
         self.prefix = textkit.prefix_hash(self.value)
         self.literal = np.zeros(len(keep) + 1, np.int64)
@@ -111,21 +120,29 @@ class Templates:
 
     def slots(self, at: np.ndarray, size: int) -> list[str]:
         """The placeholders' values of windows, joined by a separator; literals are left out."""
-        return ["\x1f".join(self.plain[self.form[j]] for j in range(i, i + size) if self.kind[j] != WORD) for i in at.tolist()]
+        plain = lambda j: canonical(self.raw[self.start[j] : self.end[j]].decode("utf-8", "replace"))[0]
+        return ["\x1f".join(plain(self.at[j]) for j in range(i, i + size) if self.kind[j] != WORD) for i in at.tolist()]
 
 
-def _hash(word: str) -> int:
-    data = np.frombuffer(word.encode("utf-8", "replace"), np.uint8)
-    zero, end = np.zeros(1, np.int64), np.array([len(data)])
-    return int(textkit.range_hash(textkit.prefix_hash(data.astype(np.uint64) + np.uint64(1)), zero, end)[0])
+def hashes_of(forms: list[str]) -> np.ndarray:
+    """The hash that textkit.Words gives each of these words."""
+    data = [f.encode("utf-8", "replace") for f in forms]
+    sizes = np.fromiter(map(len, data), np.int64, len(data))
+    ends = np.cumsum(sizes)
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    return textkit.range_hash(textkit.prefix_hash(raw.astype(np.uint64) + np.uint64(1)), ends - sizes, ends)
+
+
+UNIT_HASHES = hashes_of(sorted(UNITS))
 
 
 def item_windows(benchmark: DataFrame, gram: int = GRAM, literals: int = LITERALS) -> DataFrame:
     """item_id, n_words, size, j (window), h, slots of every distinct item row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[int, tuple[str, int, bool, bool]] = {}
         for part in passages.gather(batches):
-            t = Templates(part.column(1))
+            t = Templates(part.column(1), memo)
             for size in range(1, gram + 1):
                 row, at, h = t.windows(size, literals if size == gram else min(literals, size))
                 if size < gram:
@@ -134,7 +151,7 @@ def item_windows(benchmark: DataFrame, gram: int = GRAM, literals: int = LITERAL
                 if len(row):
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)).cast(pa.int64()), pa.array(t.count[row]), pa.array(np.full(len(row), size)), pa.array(at - t.row_at[row]), pa.array(h.view(np.int64)), pa.array(t.slots(at, size))], ["item_id", "n_words", "size", "j", "h", "item_slots"])
 
-    return benchmark.select("item_id", "text").distinct().mapInArrow(run, "item_id long, n_words long, size long, j long, h long, item_slots string")
+    return benchmark.select("item_id", "text").distinct().mapInArrow(textkit.tidy(run), "item_id long, n_words long, size long, j long, h long, item_slots string")
 
 
 def document_windows(docs: DataFrame, sizes: list[int], wanted, gram: int = GRAM, literals: int = LITERALS) -> DataFrame:
@@ -142,8 +159,9 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted, gram: int = GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = None if wanted is None else wanted.value
+        memo: dict[int, tuple[str, int, bool, bool]] = {}
         for part in passages.gather(batches):
-            t = Templates(part.column(2))
+            t = Templates(part.column(2), memo)
             for size in sizes:
                 row, at, h = t.windows(size, literals if size == gram else min(literals, size))
                 if hashes is not None and len(h):
@@ -154,7 +172,7 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted, gram: int = GRAM
                     take = pa.array(row)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take).cast(pa.int64()), pa.array(at - t.row_at[row]), pa.array(h.view(np.int64)), pa.array(t.slots(at, size))], ["rid", "doc_id", "i", "h", "doc_slots"])
 
-    return passages.keyed(docs).mapInArrow(run, "rid long, doc_id long, i long, h long, doc_slots string")
+    return passages.keyed(docs).mapInArrow(textkit.tidy(run), "rid long, doc_id long, i long, h long, doc_slots string")
 
 
 def covered_words(hits: list[tuple[int, int, str, str]], size: int) -> tuple[int, bool]:
@@ -205,7 +223,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_hashes: int = BROADCA
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r[0] for r in rows], pa.int64()), batch.column(3), pa.array([r[1] for r in rows], pa.bool_())], ["rid", "doc_id", "item_id", "covered_words", "item_words", "reparameterised"])
 
     shape = "rid long, doc_id long, item_id long, covered_words long, item_words long, reparameterised boolean"
-    return readings.select("rid", "doc_id", "item_id", "n_words", "size", "hits").mapInArrow(run, shape).where(F.col("covered_words") >= COVERED * F.col("item_words"))
+    return readings.select("rid", "doc_id", "item_id", "n_words", "size", "hits").mapInArrow(textkit.tidy(run), shape).where(F.col("covered_words") >= COVERED * F.col("item_words"))
 
 
 def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
