@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, decontam, language, neardup, pii, queries
+from tallybook.llm import bpe, decontam, language, neardup, pii, queries, textkit
 from tallybook.llm.shared import stored
 from tallybook.session import importable
 
@@ -19,6 +19,7 @@ LEAST_SHARE = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language stay; those without a letter or a clear language go."""
+    textkit.small_batches(spark)
     model = language.fit(docs.where(language.training_rows(docs)))
     found = language.predict(docs, model, tuple(docs.columns), ("__lang_pred", "__score"))
     return found.where((F.col("__lang_pred") != "und") & (F.col("__score") >= LEAST_SHARE)).select(*docs.columns)
@@ -26,11 +27,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays."""
+    textkit.small_batches(spark)
     return neardup.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
+    textkit.small_batches(spark)
     return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -41,6 +44,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text (little-endian unsigned 32 bit) and a digest of the decoded text."""
+    textkit.small_batches(spark)
     found = bpe.encode_documents(docs, queries.vocabulary_path())
     return found.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 

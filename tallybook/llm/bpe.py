@@ -33,7 +33,7 @@ from tallybook.llm.shared import forget, stored
 #: Largest distinct-word table (bytes of its arrays) that is broadcast.
 TABLE_BYTES = 256 << 20
 #: Distinct pieces that one task holds before it passes them on.
-HELD_PIECES = 1_000_000
+HELD_PIECES = 400_000
 #: The published split pattern of this byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Below this character the two Unicode tables that could be used for the pattern agree.
@@ -138,7 +138,7 @@ def distinct_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
                     held = set()
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], ["piece"])
 
-    return docs.select("text").mapInArrow(run, "piece string").distinct()
+    return docs.select("text").mapInArrow(textkit.tidy(run), "piece string").distinct()
 
 
 def encoded_pieces(pieces: DataFrame, vocabulary: str, seed: int = 0) -> DataFrame:
@@ -155,7 +155,7 @@ def encoded_pieces(pieces: DataFrame, vocabulary: str, seed: int = 0) -> DataFra
                 flat = np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
                 yield pa.RecordBatch.from_arrays([part, pa.array(piece_hash(words, seed).view(np.int64)), pa.array(counts), textkit.binary_rows(flat, counts)], ["piece", "h", "n", "ids"])
 
-    return pieces.mapInArrow(run, "piece string, h long, n long, ids binary")
+    return pieces.mapInArrow(textkit.tidy(run), "piece string, h long, n long, ids binary")
 
 
 def _packed(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,7 +166,7 @@ def _packed(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             ids, offsets = textkit.bytes_of(batch.column(2).cast(pa.binary()))
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (batch.column(0).to_numpy().tobytes(), batch.column(1).to_numpy().astype(np.uint16).tobytes(), ids.tobytes())], ["h", "n", "ids"])
 
-    rows = table.select("h", "n", "ids").mapInArrow(pack, "h binary, n binary, ids binary").toArrow()
+    rows = table.select("h", "n", "ids").mapInArrow(textkit.tidy(pack), "h binary, n binary, ids binary").toArrow()
     h = np.frombuffer(b"".join(rows.column(0).to_pylist()), np.uint64)
     n = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint16).astype(np.int64)
     ids = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint32)
@@ -221,7 +221,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, table_bytes: int = TABLE_
                 np.cumsum(per_doc, out=doc_ends[1:])
                 yield then(_finish(part.column(0), flat, np.diff(upto[doc_ends]), back))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(textkit.tidy(run), schema)
 
 
 def _by_shuffle(docs: DataFrame, table: DataFrame, vocabulary: str, then: Callable, schema: str) -> DataFrame:
@@ -245,7 +245,7 @@ def _by_shuffle(docs: DataFrame, table: DataFrame, vocabulary: str, then: Callab
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.string()), pa.array(at, pa.binary())], ["row_key", "piece", "at"])
 
     kind = keyed.schema["row_key"].dataType
-    spots = keyed.select("row_key", "text").mapInArrow(occur, f"row_key {kind.simpleString()}, piece string, at binary")
+    spots = keyed.select("row_key", "text").mapInArrow(textkit.tidy(occur), f"row_key {kind.simpleString()}, piece string, at binary")
     met = spots.join(table.select("piece", "ids"), "piece").groupBy("row_key").agg(F.collect_list(F.struct("at", "ids")).alias("spots"))
     whole = keyed.select("row_key", "copies").join(met, "row_key", "left")
 
@@ -263,7 +263,7 @@ def _by_shuffle(docs: DataFrame, table: DataFrame, vocabulary: str, then: Callab
                 for _ in range(batch.column(1)[i].as_py()):
                     yield then(one)
 
-    return whole.select("row_key", "copies", "spots").mapInArrow(assemble, schema)
+    return whole.select("row_key", "copies", "spots").mapInArrow(textkit.tidy(assemble), schema)
 
 
 def digests(batch: pa.RecordBatch) -> pa.RecordBatch:

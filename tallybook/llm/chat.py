@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybook.llm import textkit
 from tallybook.llm.shared import forget, stored
 
 BEGIN, HEAD, END = "<s>[TURN]", "[TEXT]", "</s>"
@@ -129,7 +130,7 @@ def conversations_of(forest: DataFrame, best: int = 1) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x[0] for x in done], pa.string()), pa.array([[{"start": a, "end": b} for a, b in x[1]] for x in done], kind)], ["tree", "leaf", "rank", "formatted", "mask"])
 
-    return rows.mapInArrow(run, "tree long, leaf long, rank int, formatted string, mask array<struct<start:long,end:long>>")
+    return rows.mapInArrow(textkit.tidy(run), "tree long, leaf long, rank int, formatted string, mask array<struct<start:long,end:long>>")
 
 
 def digests(formats: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def digests(formats: DataFrame) -> DataFrame:
                     column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.int64())], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formats.select("tree", "formatted", "mask").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formats.select("tree", "formatted", "mask").mapInArrow(textkit.tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _oracle() -> str:

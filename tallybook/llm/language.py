@@ -35,7 +35,7 @@ ORDERS = (5, 4, 3, 2, 1)
 BACKOFF = 0.4
 EVIDENCE = 40
 #: Entries of a worker's memo of unseen words before it starts anew.
-MEMO = 400_000
+MEMO = 100_000
 LETTERS = r"\p{L}[\p{L}\p{M}]*"
 SCHEMA = "doc_id long, lang_pred string, score double"
 
@@ -116,13 +116,13 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
         find = regex.compile(LETTERS).findall
         base = len(m.words)
         memo: dict[str, int] = {}
-        extra: list[np.ndarray] = []
+        extra = np.zeros((1024, len(m.languages)))
         names_of = np.array([*m.languages, "und"], dtype=object)
         for batch in batches:
             for part in textkit.steps(batch, "text"):
                 cut = [find(t.lower()) if t else [] for t in part.column(0).to_pylist()]
                 if len(memo) > MEMO:
-                    memo, extra = {}, []
+                    memo = {}
                 where: list[int] = []
                 if m.languages:
                     get, seen = m.words.get, memo.get
@@ -132,8 +132,11 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
                             if i is None:
                                 i = seen(w)
                                 if i is None:
-                                    i = memo[w] = base + len(extra)
-                                    extra.append(unseen(m, w))
+                                    at = len(memo)
+                                    if at == len(extra):
+                                        extra = np.concatenate([extra, np.zeros_like(extra)])
+                                    extra[at] = unseen(m, w)
+                                    i = memo[w] = base + at
                             where.append(i)
                 counts = np.fromiter(map(len, cut), np.int64, len(cut)) if m.languages else np.zeros(len(cut), np.int64)
                 scores = np.zeros((len(cut), max(1, len(m.languages))))
@@ -144,7 +147,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
                     rows = np.empty((len(at), len(m.languages)))
                     rows[known] = m.word_scores[at[known]]
                     if not known.all():
-                        rows[~known] = np.array(extra)[at[~known] - base]
+                        rows[~known] = extra[at[~known] - base]
                     starts = (np.cumsum(counts) - counts)[full]
                     mean = np.add.reduceat(rows, starts, axis=0) / counts[full, None]
                     scores[full] = mean * np.minimum(counts[full, None], EVIDENCE)
@@ -154,7 +157,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
                 labels = names_of[np.where(counts > 0, best, len(m.languages))]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names] + [pa.array(labels.tolist(), pa.string()), pa.array(share)], [*names, *added])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(textkit.tidy(run), schema)
 
 
 def training_rows(docs: DataFrame) -> Column:

@@ -8,6 +8,7 @@ from tallybook.llm import bpe, chat, decontam, language, neardup, pii, quality,
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    textkit.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -45,7 +45,7 @@ def blocks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
             rid = part.column(0).to_numpy()[a.row]
             yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(a.gram.view(np.int64)), pa.array(a.context().view(np.int64)), pa.array(spot)], ["rid", "h", "ctx", "spot"])
 
-    return passages.keyed(docs).select("rid", "text").mapInArrow(run, "rid long, h long, ctx long, spot long")
+    return passages.keyed(docs).select("rid", "text").mapInArrow(textkit.tidy(run), "rid long, h long, ctx long, spot long")
 
 
 def duplicate_spans(docs: DataFrame, whole: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -76,7 +76,7 @@ def duplicate_spans(docs: DataFrame, whole: DataFrame, window: int = WINDOW, gra
             keys = textkit.range_hash(prefix, begin, begin + window)
             yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[doc]), pa.array(np.repeat(h, count)), pa.array(keys.view(np.int64)), pa.array(start), pa.array(np.repeat(alone, count))], ["rid", "h", "w", "start", "alone"])
 
-    checked = at_edges.select("rid", "text", "edges").mapInArrow(windows, "rid long, h long, w long, start long, alone boolean")
+    checked = at_edges.select("rid", "text", "edges").mapInArrow(textkit.tidy(windows), "rid long, h long, w long, start long, alone boolean")
     met = checked.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w")
     partly = checked.where("alone").join(apart(met, "h", "w").hint("shuffle_merge"), ["h", "w"]).select("rid", "start", (F.col("start") + window).alias("end"))
     return full.unionByName(partly).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -110,7 +110,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, f
                 kept.append(b" ".join([raw[s:e] for s, e in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]))
             yield then(pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(words.count.astype(np.int64)), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"]))
 
-    return whole.join(found.hint("shuffle_merge"), "rid", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return whole.join(found.hint("shuffle_merge"), "rid", "left").select("doc_id", "text", "spans").mapInArrow(textkit.tidy(run), schema)
 
 
 def digests(batch: pa.RecordBatch) -> pa.RecordBatch:

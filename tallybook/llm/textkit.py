@@ -7,7 +7,8 @@ of any range comes from two prefix sums, without touching the text again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,3 +155,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def only(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone: extra columns, whatever their names, never reach an operator."""
     return docs.select(*columns)
+
+
+class tidy:
+    """A worker function that gives freed memory back to the system when its task ends: workers live
+    on between tasks, and what one held at most would stay theirs beside the next one's."""
+
+    def __init__(self, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+        self.run = run
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from self.run(batches)
+        finally:
+            for known in [k for k, v in _POWERS.items() if len(v) > 1 << 21]:
+                del _POWERS[known]
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+
+def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Send texts to Python workers in batches of at most ``most`` bytes, for this session."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(most))

@@ -39,7 +39,7 @@ SPREAD, LEVEL = 3, 9
 #: Gains (bytes) above which windows are counted.
 STEPS = (4, 6, 8, 10, 12, 14, 16)
 #: Distinct words that a worker remembers before it starts anew.
-MEMO = 500_000
+MEMO = 300_000
 WORD = r"[^\W_]+"
 
 
@@ -112,7 +112,7 @@ def _features(docs: DataFrame, toxic: bytes, ordinary: bytes) -> DataFrame:
                 rows = gains.features(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(rows), pa.list_(pa.float64()))], ["toxic", "x"])
 
-    return docs.select("toxic", "text").mapInArrow(run, "toxic int, x array<double>")
+    return docs.select("toxic", "text").mapInArrow(textkit.tidy(run), "toxic int, x array<double>")
 
 
 def training_labels(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -180,4 +180,4 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30)))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(textkit.tidy(run), "doc_id long, score double, predicted int")
