@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm import textkit
-from tallybook.llm.shared import forget, stored
+from tallybook.llm.shared import forget, release, stored
 
 #: Largest distinct-word table (bytes of its arrays) that is broadcast.
 TABLE_BYTES = 256 << 20
@@ -158,21 +158,28 @@ def encoded_pieces(pieces: DataFrame, vocabulary: str, seed: int = 0) -> DataFra
     return pieces.mapInArrow(textkit.tidy(run), "piece string, h long, n long, ids binary")
 
 
-def _packed(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The table as sorted hashes, id counts and flat ids.  Its size has been checked."""
+def _packed(table: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table as sorted hashes, id counts and flat ids of ``kind``.  Its size has been checked; the
+    driver holds it once and its parts by turns."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, offsets = textkit.bytes_of(batch.column(2).cast(pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (batch.column(0).to_numpy().tobytes(), batch.column(1).to_numpy().astype(np.uint16).tobytes(), ids.tobytes())], ["h", "n", "ids"])
+            ids = np.frombuffer(textkit.bytes_of(batch.column(2).cast(pa.binary()))[0].tobytes(), "<u4")
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (batch.column(0).to_numpy().tobytes(), batch.column(1).to_numpy().astype(np.uint16).tobytes(), ids.astype(kind).tobytes())], ["h", "n", "ids"])
 
     rows = table.select("h", "n", "ids").mapInArrow(textkit.tidy(pack), "h binary, n binary, ids binary").toArrow()
-    h = np.frombuffer(b"".join(rows.column(0).to_pylist()), np.uint64)
-    n = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint16).astype(np.int64)
-    ids = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint32)
+    h, n, ids = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_buffer(), t) for x in rows.column(k))]) for k, t in enumerate((np.uint64, np.uint16, kind)))
+    del rows
     order = np.argsort(h, kind="stable")
-    flat = ids[textkit.ragged((np.cumsum(n) - n)[order], n[order])]
-    return h[order], n[order].astype(np.uint16), flat.astype(np.uint16) if not len(flat) or flat.max() < 1 << 16 else flat
+    starts = np.cumsum(n, dtype=np.int64) - n
+    flat = np.empty_like(ids)
+    at = 0
+    for k in range(0, len(order), 100_000):
+        part = order[k : k + 100_000]
+        piece = ids[textkit.ragged(starts[part], n[part].astype(np.int64))]
+        flat[at : at + len(piece)] = piece
+        at += len(piece)
+    return h[order], n[order], flat
 
 
 def _finish(doc_ids: pa.Array, flat: np.ndarray, counts: np.ndarray, pieces: tuple[np.ndarray, np.ndarray, bytes]) -> pa.RecordBatch:
@@ -199,8 +206,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, table_bytes: int = TABLE_
     then = finish or (lambda batch: batch)
     if (size["bytes"] or 0) > table_bytes or size["hashes"] != size["rows"]:
         return _by_shuffle(docs, table, vocabulary, then, schema)
-    arrays = docs.sparkSession.sparkContext.broadcast(_packed(table))
+    kind = "<u2" if splitter(vocabulary).tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+    arrays = docs.sparkSession.sparkContext.broadcast(_packed(table, kind))
     forget(table)
+    release(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n_ids, flat_ids = arrays.value

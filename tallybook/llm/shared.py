@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybook.llm import textkit
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.  Only where it is unset (tests on one
@@ -51,6 +53,7 @@ def release(spark: SparkSession) -> None:
     collection of garbage: they are most of the disk that a sequence of stored steps takes."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    textkit.trim()
 
 
 def apart(df: DataFrame, *keys: str) -> DataFrame:

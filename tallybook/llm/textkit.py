@@ -168,13 +168,18 @@ class tidy:
         try:
             yield from self.run(batches)
         finally:
-            for known in [k for k, v in _POWERS.items() if len(v) > 1 << 21]:
-                del _POWERS[known]
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            trim()
+
+
+def trim() -> None:
+    """Give freed memory of this process back to the system."""
+    for known in [k for k, v in _POWERS.items() if len(v) > 1 << 21]:
+        del _POWERS[known]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
