@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm import passages, textkit
+from tallybook.llm.shared import stored
 
 LEAST, INNER, GRAM = 50, 33, 8
 SCHEMA = "doc_id long, n_words long, n_duplicate_words long, spans array<struct<start:int,end:int>>"
@@ -41,14 +42,14 @@ def anchors(docs: DataFrame, inner: int = INNER, gram: int = GRAM) -> DataFrame:
             a = passages.Anchors(part.column(1), gram, inner)
             yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[a.row]), pa.array(a.gram.view(np.int64)), pa.array((a.at - a.base()).astype(np.int32))], ["rid", "h", "at"])
 
-    return passages.keyed(docs).select("rid", "text").mapInArrow(run, "rid long, h long, at int")
+    return passages.keyed(docs).select("rid", "text").mapInArrow(textkit.tidy(run), "rid long, h long, at int")
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, inner: int = INNER, gram: int = GRAM) -> DataFrame:
     """doc_id, its words, words inside repeats, and the spans of repeats in words."""
     if least - inner < gram:
         raise ValueError("least must be at least inner + gram")
-    known = passages.repeated(anchors(docs, inner, gram)).groupBy("rid").agg(F.collect_list(F.struct("h", "at")).alias("found"))
+    known = stored(passages.repeated(anchors(docs, inner, gram)).groupBy("rid").agg(F.collect_list(F.struct("h", "at")).alias("found")), "anchors")
     whole = passages.keyed(docs).repartition("rid")
     right, left = least - gram, inner - gram
 
@@ -73,11 +74,11 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, inner: int = INNER, gram
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part.column(0).take(pa.array(twice)), part.column(1).take(pa.array(twice)), pa.array(words.count[twice]), pa.array(np.concatenate([at, at]).astype(np.int32))], ["key", "rid", "doc_id", "n_words", "at"])
 
     shape = "key binary, rid long, doc_id long, n_words long, at int"
-    suffixes = whole.join(known.hint("shuffle_merge"), "rid").select("rid", "doc_id", "text", "found").mapInArrow(cut, shape)
+    suffixes = whole.join(known.hint("shuffle_merge"), "rid").select("rid", "doc_id", "text", "found").mapInArrow(textkit.tidy(cut), shape)
     placed = suffixes.repartitionByRange("key", "rid", "at").sortWithinPartitions("key", "rid", "at")
     matched = "rid long, doc_id long, n_words long, at int, side int, reach int, key binary"
-    compared = placed.mapInArrow(_neighbours, matched)
-    edges = compared.where("key IS NOT NULL").select("key", "rid", "doc_id", "n_words", "at").repartition(1).sortWithinPartitions("key", "rid", "at").mapInArrow(_neighbours, matched)
+    compared = placed.mapInArrow(textkit.tidy(_neighbours), matched)
+    edges = compared.where("key IS NOT NULL").select("key", "rid", "doc_id", "n_words", "at").repartition(1).sortWithinPartitions("key", "rid", "at").mapInArrow(textkit.tidy(_neighbours), matched)
     every = compared.drop("key").unionByName(edges.drop("key"))
     per_doc = every.groupBy("rid", "doc_id", "n_words").agg(F.collect_list(F.struct("at", "side", "reach")).alias("hits"))
 
@@ -100,7 +101,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, inner: int = INNER, gram
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(rows, kind)], ["doc_id", "n_words", "n_duplicate_words", "spans"])
 
-    return per_doc.select("doc_id", "n_words", "hits").mapInArrow(spans, SCHEMA).where("n_duplicate_words > 0")
+    return per_doc.select("doc_id", "n_words", "hits").mapInArrow(textkit.tidy(spans), SCHEMA).where("n_duplicate_words > 0")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
