@@ -112,14 +112,18 @@ def on_paths(forest: DataFrame, leaves: DataFrame) -> DataFrame:
     for k in reversed(range(len(jumps))):
         jump = jumps[k].select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "up")
         more = paths.join(jump, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2"))).select("tree", "leaf", "rank", (F.col("place") - (1 << k)).alias("place"), F.col("up").alias("node"))
-        paths = paths.unionByName(more)
+        longer = stored(paths.unionByName(more), "paths")
+        forget(paths)
+        paths = longer
+    for jump in jumps:
+        forget(jump)
     return paths
 
 
 def conversations_of(forest: DataFrame, best: int = 1) -> DataFrame:
     """tree, leaf, rank, formatted, mask of the chosen path of every tree."""
     forest = stored(forest, "forest")
-    paths = on_paths(forest, leaf_paths(forest, best))
+    paths = on_paths(forest, stored(leaf_paths(forest, best), "leaves"))
     own = forest.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "role", "text")
     told = paths.join(own, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")))
     rows = told.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
