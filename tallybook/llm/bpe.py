@@ -165,10 +165,10 @@ def _packed(table: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray, np.nda
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.frombuffer(textkit.bytes_of(batch.column(2).cast(pa.binary()))[0].tobytes(), "<u4")
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (batch.column(0).to_numpy().tobytes(), batch.column(1).to_numpy().astype(np.uint16).tobytes(), ids.astype(kind).tobytes())], ["h", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (batch.column(0).to_numpy().tobytes(), batch.column(1).to_numpy().astype(np.uint32).tobytes(), ids.astype(kind).tobytes())], ["h", "n", "ids"])
 
     rows = table.select("h", "n", "ids").mapInArrow(textkit.tidy(pack), "h binary, n binary, ids binary").toArrow()
-    h, n, ids = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_buffer(), t) for x in rows.column(k))]) for k, t in enumerate((np.uint64, np.uint16, kind)))
+    h, n, ids = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_buffer(), t) for x in rows.column(k))]) for k, t in enumerate((np.uint64, np.uint32, kind)))
     del rows
     order = np.argsort(h, kind="stable")
     starts = np.cumsum(n, dtype=np.int64) - n
@@ -202,7 +202,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, table_bytes: int = TABLE_
     """
     docs = textkit.only(docs, "doc_id", "text")
     table = stored(encoded_pieces(distinct_pieces(docs, vocabulary), vocabulary), "pieces")
-    size = table.agg(F.count("*").alias("rows"), F.sum(F.col("n") * 4 + 10).alias("bytes"), F.countDistinct("h").alias("hashes")).first()
+    size = table.agg(F.count("*").alias("rows"), F.sum(F.col("n") * 4 + 12).alias("bytes"), F.countDistinct("h").alias("hashes")).first()
     then = finish or (lambda batch: batch)
     if (size["bytes"] or 0) > table_bytes or size["hashes"] != size["rows"]:
         return _by_shuffle(docs, table, vocabulary, then, schema)

@@ -27,6 +27,19 @@ def test_bpe_round_trip(docs_of, table_bytes):
     assert bpe.encode_documents(docs_of([]), queries.vocabulary_path(), table_bytes).count() == 0
 
 
+@pytest.mark.parametrize("table_bytes", [1 << 24, 0])
+def test_bpe_piece_of_many_ids(docs_of, table_bytes):
+    from tokenizers import Tokenizer
+
+    r = random.Random(2)
+    rows = [(i, f"plain words {i} of doc {i * 7}") for i in range(40)] + [(50, "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(40_000)))]
+    t = Tokenizer.from_file(queries.vocabulary_path())
+    want = {i: t.encode(text, add_special_tokens=False).ids for i, text in rows}
+    assert len(want[50]) > 65_535
+    got = {x.doc_id: np.frombuffer(x.ids, "<u4").tolist() for x in bpe.encode_documents(docs_of(rows), queries.vocabulary_path(), table_bytes).collect()}
+    assert got == want
+
+
 def test_pii(docs_of):
     rows = [
         (1, "mail a.b+c@x-1.example.org now"), (2, "at 10.0.255.1 and 300.1.1.1 and 1.2.3.4.5.6.7.8"), (3, "card 4111 1111 1111 1111 or 4111 1111 1111 1112"), (4, "+1 (415) 555-0100 +12 3"),
