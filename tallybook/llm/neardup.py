@@ -5,6 +5,9 @@ each of ``SKETCHES`` hash orders the ``PICKED`` smallest labelled k-mers are tak
 order* and hashed together, so that a sketch agrees when k-mers and their order agree.  Texts
 that agree in a sketch form a bucket.  Copies (equal texts) are one node from the start.
 
+Texts of up to ``SHORT`` words also get segment keys: of two texts within ``d`` edits, one has
+``d + 1`` segments of which the other holds one at nearly its place, so no link among them is missed.
+
 Buckets never become pairs of all members: each member is compared with a leader of its bucket.
 Round one takes the smallest node as leader, so that one cluster meets one leader in most of its
 buckets.  Round two takes in each bucket another, hash-chosen leader and compares whatever is
@@ -22,6 +25,7 @@ words are one k-mer; class_id is the smallest doc_id of the class; repeated rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,31 @@ from pyspark.sql import functions as F
 from tallybook.llm import passages, textkit
 from tallybook.llm.shared import apart, forget, stored
 
-GRAM, SKETCHES, PICKED, SIMILAR = 5, 24, 3, 0.8
+GRAM, SKETCHES, PICKED, SIMILAR = 3, 40, 2, 0.8
+#: Longest text (words) that has segment keys.
+SHORT = 30
+
+
+def room(words: int, similar: float = SIMILAR) -> int:
+    """Edits that a link may have whose longer text has so many words."""
+    return int((1 - similar) * words + 1e-9)
+
+
+@cache
+def segments(n: int, similar: float = SIMILAR) -> np.ndarray:
+    """The segment keys of a text of ``n`` words: rows of first word, words, and the length, edits and
+    place that name the segment.  As the shorter text of a pair it has its own segments, as the longer
+    one every place where a segment of a text of its own length or less may stand within the edits."""
+    out = []
+    cut = lambda size, d: [(i, size * i // (d + 1), size * (i + 1) // (d + 1)) for i in range(d + 1)]
+    for d in sorted({room(m, similar) for m in range(n, SHORT + 1) if m - room(m, similar) <= n} - {0}):
+        out += [(a, b - a, n, d, i) for i, a, b in cut(n, d)]
+    d = room(n, similar)
+    for size in range(n - d, n + 1) if d else []:
+        for i, a, b in cut(size, d):
+            low, high = max(a - i, a + n - size - (d - i), 0), min(a + i, a + n - size + (d - i), n - (b - a))
+            out += [(q, b - a, size, d, i) for q in range(low, high + 1)]
+    return np.array(sorted(set(out)), np.int64).reshape(-1, 5)
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -40,7 +68,7 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 
 def sketches(texts: DataFrame, gram: int = GRAM, count: int = SKETCHES, picked: int = PICKED) -> DataFrame:
-    """node, bands: ``count`` order-min-hashes of each row of (node, text)."""
+    """node, bands: ``count`` order-min-hashes, and segment keys of short texts, of each row of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -84,8 +112,17 @@ def sketches(texts: DataFrame, gram: int = GRAM, count: int = SKETCHES, picked:
                     for j in range(picked):
                         out = textkit.mix64(out * np.uint64(31) + padded[chosen[j]])
                     bands[:, i] = out
-            flat = pa.array(bands.reshape(-1).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * count, pa.int32()), flat)
+            rows = list(bands)
+            spans = textkit.prefix_hash(words.hash)
+            for k in np.flatnonzero(words.count[full] <= SHORT):
+                first, size, *name = segments(int(words.count[full[k]])).T
+                if len(first):
+                    first = first + words.row_at[full[k]]
+                    named = ((name[0] * 64 + name[1]) * 64 + name[2]).astype(np.uint64)
+                    rows[k] = np.append(rows[k], np.unique(textkit.mix64(textkit.range_hash(spans, first, first + size) + textkit.mix64(named))))
+            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64))
+            ends = np.cumsum([0, *map(len, rows)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), lists], ["node", "bands"])
 
     return texts.select("node", "text").mapInArrow(textkit.tidy(run), "node long, bands array<long>")

@@ -1,5 +1,7 @@
 """Near-duplicates against alignment of all pairs."""
 
+import random
+
 import pytest
 
 from tallybook.llm import neardup
@@ -66,3 +68,21 @@ def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in neardup.components(links).collect()}
     assert all(got[i] == 0 for i in range(1, 61)) and got[101] == 100
+
+
+def test_short_texts_within_the_edits(docs_of, make_text):
+    rows, want, r = [], {}, random.Random(4)
+    for g in range(60):
+        n = r.randrange(5, 31)
+        base = make_text(3000 + g, n).split()
+        w = list(base)
+        for k in r.sample(range(n), neardup.room(n)):
+            w[k] = f"short{g}x{k}"
+        if g % 3 == 0:
+            w = base[:2] + base[2 + neardup.room(n) :]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(w))]
+        assert distance(base, w) <= 0.2 * n
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g}
+    ten = make_text(4000, 10).split()
+    rows += [(500, " ".join(ten)), (501, " ".join([*ten[:5], "other", *ten[6:]]))]
+    assert {x.doc_id: x.class_id for x in neardup.classes(docs_of(rows)).collect()} == want | {500: 500, 501: 500}
