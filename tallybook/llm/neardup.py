@@ -8,10 +8,12 @@ that agree in a sketch form a bucket.  Copies (equal texts) are one node from th
 Texts of up to ``SHORT`` words also get segment keys: of two texts within ``d`` edits, one has
 ``d + 1`` segments of which the other holds one at nearly its place, so no link among them is missed.
 
-Buckets never become pairs of all members: each member is compared with a leader of its bucket.
-Round one takes the smallest node as leader, so that one cluster meets one leader in most of its
-buckets.  Round two takes in each bucket another, hash-chosen leader and compares whatever is
-not yet in one class with it; ``SKETCHES`` leaders in turn stand in for all pairs of a cluster.
+Members of a bucket are compared with leaders of it.  Round one takes the smallest node as
+leader, so that one cluster meets one leader in most of its buckets.  Round two takes in each
+bucket another, hash-chosen leader and compares whatever is not yet in one class with it.  While
+a bucket's members that have not led are in more than one class, further rounds take leaders from
+its smallest classes, ``LEADERS`` and then eight times as many in turn.  At the end any two
+members of a bucket are in one class or have been compared.
 A pair is a link when its word-level edit distance, from a banded alignment of width
 2 * floor(0.2 * longer) + 1, is at most 0.2 times the longer text's words (``SIMILAR`` 0.8).
 Links become classes by star contraction, a few joins over links only.
@@ -29,7 +31,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm import passages, textkit
@@ -38,6 +40,8 @@ from tallybook.llm.shared import apart, forget, stored
 GRAM, SKETCHES, PICKED, SIMILAR = 3, 40, 2, 0.8
 #: Longest text (words) that has segment keys.
 SHORT = 30
+#: Leaders of a bucket in the third round; the most in any round.
+LEADERS, MOST_LEADERS = 8, 512
 
 
 def room(words: int, similar: float = SIMILAR) -> int:
@@ -185,17 +189,36 @@ def classes(docs: DataFrame, similar: float = SIMILAR, count: int = SKETCHES) ->
     rows = bands.select("node", F.explode("bands").alias("bucket"))
     spread = F.xxhash64("bucket", "node")
     leaders = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.min(F.struct(spread, "node")).alias("any")).where("size > 1")
-    led = stored(rows.join(apart(leaders.select("bucket", "low", F.col("any.node").alias("any")), "bucket").hint("shuffle_merge"), "bucket").select("node", "low", "any"), "leaders")
+    led = stored(rows.join(apart(leaders.select("bucket", "low", F.col("any.node").alias("any")), "bucket").hint("shuffle_merge"), "bucket").select("bucket", "node", "low", "any"), "leaders")
     first = led.select(F.col("node").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
     other = led.select(F.least("node", "any").alias("b"), F.greatest("node", "any").alias("a")).where("a <> b").distinct()
     wanted = led.select("node").union(led.select("any")).union(led.select("low")).distinct()
     seqs = stored(coded(words.join(wanted.hint("shuffle_merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))), "sequences")
     links = stored(verified(first, seqs, similar), "verified")
     roots = components(links)
-    root_of = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")).hint("shuffle_merge"), c, "left")
-    rest = root_of(root_of(other.select("a", "b"), "a"), "b").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    root_of = lambda df, c, roots: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")).hint("shuffle_merge"), c, "left")
+    rest = root_of(root_of(other.select("a", "b"), "a", roots), "b", roots).where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
     more = verified(rest, seqs, similar)
     roots = components(links.unionByName(more))
+    members = led.where("node <> low AND node <> any").select("bucket", "node")
+    most = LEADERS
+    while True:
+        rooted = root_of(members, "node", roots).select("bucket", "node", F.coalesce("root_node", "node").alias("root"))
+        mixed = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("top")).where("least <> top").select("bucket")
+        left = stored(rooted.join(apart(mixed, "bucket").hint("shuffle_merge"), "bucket"), "members")
+        if left.isEmpty():
+            break
+        sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+        order = Window.partitionBy("bucket").orderBy("size", F.xxhash64("bucket", "node"), "node")
+        leading = left.join(apart(sizes, "bucket", "root").hint("shuffle_merge"), ["bucket", "root"]).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+        leading = stored(leading.select("bucket", F.col("node").alias("leader"), F.col("root").alias("led_root")), "leading")
+        met = left.join(apart(leading, "bucket").hint("shuffle_merge"), "bucket").where("root <> led_root")
+        pairs = met.select(F.least("node", "leader").alias("b"), F.greatest("node", "leader").alias("a")).distinct()
+        more = stored(verified(pairs, seqs, similar), "more")
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        members = left.join(leading.select("bucket", F.col("leader").alias("node")).hint("shuffle_merge"), ["bucket", "node"], "left_anti")
+        most = min(most * 8, MOST_LEADERS)
     forget(led)
     forget(seqs)
     rooted = named.select("doc_id", "node").join(roots.hint("shuffle_merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))

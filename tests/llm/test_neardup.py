@@ -70,6 +70,20 @@ def test_long_chain_is_one_component(spark):
     assert all(got[i] == 0 for i in range(1, 61)) and got[101] == 100
 
 
+def test_star_of_copies_is_one_class(docs_of, make_text):
+    base = make_text(900, 200).split()
+    rows = [(1000, " ".join(base))]
+    for c in range(150):
+        w, r = list(base), random.Random(c)
+        for k in r.sample(range(200), 24):
+            w[k] = f"star{c}x{k}"
+        rows.append((c, " ".join(w)))
+    assert all(sum(x != y for x, y in zip(base, t.split(), strict=True)) <= 40 for _, t in rows)
+    far = [(2000 + i, make_text(950 + i, 200)) for i in range(5)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs_of(rows + far)).collect()}
+    assert {got[i] for i, _ in rows} == {0} and all(got[i] == i for i, _ in far)
+
+
 def test_short_texts_within_the_edits(docs_of, make_text):
     rows, want, r = [], {}, random.Random(4)
     for g in range(60):
