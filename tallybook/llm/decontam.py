@@ -2,17 +2,19 @@
 
 Both texts become templates: words lose case and outer punctuation; numbers, names (capitalised
 words that don't open a sentence) and units after a number become typed placeholders.  Windows
-of ``GRAM`` template words with at least ``LITERALS`` literal words are joined on their hash.
+of ``GRAM`` template words with at least ``LITERALS`` literal words are joined on their hash;
+windows with fewer are joined on the plain forms of all their words, slots included.
 Matched windows of one document and item are taken apart by their offset, so that each reading
 of the item in the document is judged alone; within one, every slot value of the item must map
 to one value of the document (the majority's), and windows that contradict it are dropped.  A
-document leaks an item when the windows left cover at least ``COVERED`` of the item's words.
+document leaks an item when the windows left cover at least ``COVERED`` of the item's words, or that
+share, and ``LEAST_WORDS`` at least, of those that lie in windows with enough literal words.
 
 The benchmark's distinct window hashes are broadcast to thin out document windows before the
 join while they are at most ``BROADCAST_HASHES`` (counted first); beyond that all windows go
 through the shuffle join.  Items under ``GRAM`` words are matched as one window of their length.
 
-Defined results: null texts have no windows; items with no literal window match nothing; every
+Defined results: null texts have no windows; items without literal words match on their values; every
 (document, item) pair comes once, whatever rows repeat; clean documents give no row.
 """
 
@@ -30,6 +32,8 @@ from tallybook.llm import passages, textkit
 from tallybook.llm.shared import stored
 
 GRAM, LITERALS, COVERED = 5, 3, 0.8
+#: Words that template windows must cover where they are measured without the item's other words.
+LEAST_WORDS = 8
 #: Largest number of benchmark window hashes that is broadcast.
 BROADCAST_HASHES = 4_000_000
 #: Distinct words that a worker remembers before it starts anew.
@@ -106,17 +110,23 @@ class Templates:
         self.kind, self.at = kind[keep], keep
         self.value = np.where(self.kind == WORD, value[keep], textkit.mix64(self.kind.astype(np.uint64)))
         self.prefix = textkit.prefix_hash(self.value)
+        self.plain = textkit.prefix_hash(textkit.mix64(value[keep]))
         self.literal = np.zeros(len(keep) + 1, np.int64)
         np.cumsum(self.kind == WORD, out=self.literal[1:])
 
-    def windows(self, size: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, first word and hash of every window of ``size`` words with ``least`` literals."""
+    def windows(self, size: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, first word and hash of every window of ``size`` words, and whether it has ``least``
+        literals: others are hashed by plain forms."""
         n = len(self.kind) - size + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
         row = np.repeat(np.arange(len(self.count)), self.count)
-        at = np.flatnonzero((row[:n] == row[size - 1 :]) & (self.literal[size:] - self.literal[:n] >= least))
-        return row[at], at, textkit.range_hash(self.prefix, at, at + size)
+        at = np.flatnonzero(row[:n] == row[size - 1 :])
+        typed = self.literal[at + size] - self.literal[at] >= least
+        h = textkit.range_hash(self.prefix, at, at + size)
+        bare = at[~typed]
+        h[~typed] = textkit.range_hash(self.plain, bare, bare + size)
+        return row[at], at, h, typed
 
     def slots(self, at: np.ndarray, size: int) -> list[str]:
         """The placeholders' values of windows, joined by a separator; literals are left out."""
@@ -137,21 +147,26 @@ UNIT_HASHES = hashes_of(sorted(UNITS))
 
 
 def item_windows(benchmark: DataFrame, gram: int = GRAM, literals: int = LITERALS) -> DataFrame:
-    """item_id, n_words, size, j (window), h, slots of every distinct item row."""
+    """item_id, n_words, n_typed (words in windows with enough literals), size, j (window), h, slots and
+    whether it is typed of every distinct item row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[int, tuple[str, int, bool, bool]] = {}
         for part in passages.gather(batches):
             t = Templates(part.column(1), memo)
             for size in range(1, gram + 1):
-                row, at, h = t.windows(size, literals if size == gram else min(literals, size))
+                row, at, h, typed = t.windows(size, literals if size == gram else min(literals, size))
                 if size < gram:
                     mine = t.count[row] == size
-                    row, at, h = row[mine], at[mine], h[mine]
+                    row, at, h, typed = row[mine], at[mine], h[mine], typed[mine]
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)).cast(pa.int64()), pa.array(t.count[row]), pa.array(np.full(len(row), size)), pa.array(at - t.row_at[row]), pa.array(h.view(np.int64)), pa.array(t.slots(at, size))], ["item_id", "n_words", "size", "j", "h", "item_slots"])
+                    inside = np.zeros(len(t.kind) + 1, np.int64)
+                    inside[1 + np.unique(at[typed, None] + np.arange(size))] = 1
+                    inside = np.cumsum(inside)
+                    n_typed = inside[t.row_at[row + 1]] - inside[t.row_at[row]]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)).cast(pa.int64()), pa.array(t.count[row]), pa.array(n_typed), pa.array(np.full(len(row), size)), pa.array(at - t.row_at[row]), pa.array(h.view(np.int64)), pa.array(t.slots(at, size)), pa.array(typed)], ["item_id", "n_words", "n_typed", "size", "j", "h", "item_slots", "typed"])
 
-    return benchmark.select("item_id", "text").distinct().mapInArrow(textkit.tidy(run), "item_id long, n_words long, size long, j long, h long, item_slots string")
+    return benchmark.select("item_id", "text").distinct().mapInArrow(textkit.tidy(run), "item_id long, n_words long, n_typed long, size long, j long, h long, item_slots string, typed boolean")
 
 
 def document_windows(docs: DataFrame, sizes: list[int], wanted, gram: int = GRAM, literals: int = LITERALS) -> DataFrame:
@@ -163,7 +178,7 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted, gram: int = GRAM
         for part in passages.gather(batches):
             t = Templates(part.column(2), memo)
             for size in sizes:
-                row, at, h = t.windows(size, literals if size == gram else min(literals, size))
+                row, at, h, _ = t.windows(size, literals if size == gram else min(literals, size))
                 if hashes is not None and len(h):
                     spot = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
                     hit = hashes[spot] == h if len(hashes) else np.zeros(len(h), bool)
@@ -179,29 +194,42 @@ def covered_words(hits: list[tuple[int, int, str, str]], size: int) -> tuple[int
     """Most item words covered consistently by one reading, and whether slots differ there.
 
     ``hits`` are (item window, document window, item slots, document slots)."""
+    return max(((len(words), changed) for words, changed, _ in readings([(*h, True) for h in hits], size)), default=(0, False))
+
+
+def readings(hits: list[tuple[int, int, str, str, bool]], size: int) -> Iterator[tuple[set[int], bool, set[int]]]:
+    """Item words covered consistently by each reading, whether slots differ there, and the words
+    covered by typed windows.  ``hits`` are as above, with whether the window is typed."""
     hits = sorted(hits, key=lambda x: (x[1] - x[0], x[1]))
-    best = (0, False)
     begin = 0
     for k in range(1, len(hits) + 1):
         if k < len(hits) and hits[k][1] - hits[k][0] - (hits[k - 1][1] - hits[k - 1][0]) <= 1:
             continue
-        group = hits[begin:k]
+        kept, changed = consistent(hits[begin:k])
         begin = k
-        votes: dict[str, dict[str, int]] = {}
-        pairs = []
-        for j, _, a, b in group:
-            both = list(zip(a.split("\x1f"), b.split("\x1f"), strict=False)) if a or b else []
-            pairs.append((j, both))
-            for x, y in both:
-                votes.setdefault(x, {})[y] = votes.get(x, {}).get(y, 0) + 1
-        chosen = {x: max(sorted(v), key=v.get) for x, v in votes.items()}
-        words: set[int] = set()
-        changed = False
-        for j, both in pairs:
-            if all(chosen[x] == y for x, y in both):
-                words.update(range(j, j + size))
-                changed |= any(x != y for x, y in both)
-        best = max(best, (len(words), changed))
+        yield {w for h in kept for w in range(h[0], h[0] + size)}, changed, {w for h in kept if h[4] for w in range(h[0], h[0] + size)}
+
+
+def consistent(hits: list[tuple[int, int, str, str, bool]]) -> tuple[list[tuple[int, int, str, str, bool]], bool]:
+    """The hits that agree with the majority's value of every slot, and whether slots differ in them."""
+    votes: dict[str, dict[str, int]] = {}
+    pairs = []
+    for hit in hits:
+        both = list(zip(hit[2].split("\x1f"), hit[3].split("\x1f"), strict=False)) if hit[2] or hit[3] else []
+        pairs.append((hit, both))
+        for x, y in both:
+            votes.setdefault(x, {})[y] = votes.get(x, {}).get(y, 0) + 1
+    chosen = {x: max(sorted(v), key=v.get) for x, v in votes.items()}
+    kept = [(hit, both) for hit, both in pairs if all(chosen[x] == y for x, y in both)]
+    return [hit for hit, _ in kept], any(x != y for _, both in kept for x, y in both)
+
+
+def judged(hits: list[tuple[int, int, str, str, bool]], size: int, n_words: int, n_typed: int) -> tuple[bool, int, bool]:
+    """Whether a reading leaks the item, and its words and change; the best of all readings."""
+    best = (False, 0, False)
+    for words, changed, typed in readings(hits, size):
+        leak = len(words) >= COVERED * n_words or len(typed) >= max(COVERED * n_typed, LEAST_WORDS)
+        best = max(best, (leak, len(words), changed))
     return best
 
 
@@ -215,15 +243,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_hashes: int = BROADCA
         column = distinct.toArrow().column(0)
         wanted = docs.sparkSession.sparkContext.broadcast(np.sort(column.to_numpy().view(np.uint64)))
     met = document_windows(docs, sizes or [GRAM], wanted).join(items, "h")
-    readings = met.groupBy("rid", "doc_id", "item_id", "n_words", "size").agg(F.collect_set(F.struct("j", "i", "item_slots", "doc_slots")).alias("hits"))
+    gathered = met.groupBy("rid", "doc_id", "item_id", "n_words", "n_typed", "size").agg(F.collect_set(F.struct("j", "i", "item_slots", "doc_slots", "typed")).alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [covered_words([tuple(h.values()) for h in hits.as_py()], size.as_py()) for hits, size in zip(batch.column(5), batch.column(4), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r[0] for r in rows], pa.int64()), batch.column(3), pa.array([r[1] for r in rows], pa.bool_())], ["rid", "doc_id", "item_id", "covered_words", "item_words", "reparameterised"])
+            rows = [judged([tuple(h.values()) for h in hits], size, n_words, n_typed) for n_words, n_typed, size, hits in zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True)]
+            out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r[1] for r in rows], pa.int64()), batch.column(3), pa.array([r[2] for r in rows], pa.bool_())], ["rid", "doc_id", "item_id", "covered_words", "item_words", "reparameterised"])
+            yield out.filter(pa.array([r[0] for r in rows], pa.bool_()))
 
     shape = "rid long, doc_id long, item_id long, covered_words long, item_words long, reparameterised boolean"
-    return readings.select("rid", "doc_id", "item_id", "n_words", "size", "hits").mapInArrow(textkit.tidy(run), shape).where(F.col("covered_words") >= COVERED * F.col("item_words"))
+    return gathered.select("rid", "doc_id", "item_id", "n_words", "n_typed", "size", "hits").mapInArrow(textkit.tidy(run), shape)
 
 
 def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

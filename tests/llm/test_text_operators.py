@@ -118,6 +118,17 @@ def test_decontamination(spark, docs_of, make_text):
     assert decontam.found(docs_of([]), bench).count() == 0 and decontam.found(docs_of(rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_dense_items(spark, docs_of, make_text):
+    items = ["If 3x + 7 = 22 and 2y - 5 = 11, what is x + y?", "Compute 12 + 7 * 3 - 4 / 2 and round to 2 decimal places.", "What is 17 + 25 + 33 - 12 + 8 - 4?", "In 1914 Archduke Franz Ferdinand of Austria and Sophie Chotek were killed in Sarajevo by Gavrilo Princip.", "91 25 33 12"]
+    changed = items[3].replace("1914", "1931").replace("Sarajevo", "Belgrad")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(10 + k, make_text(k, 60) + ". " + x + " " + make_text(20 + k, 40)) for k, x in enumerate([*items, changed])]
+    rows += [(20, make_text(40, 90)), (21, make_text(41, 60) + ". What is 18 + 26 + 34 - 13 + 9 - 5? " + make_text(42, 9))]
+    for most in (decontam.BROADCAST_HASHES, 0):
+        got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs_of(rows), bench, broadcast_hashes=most).collect()}
+        assert got == {(10, 0), (11, 1), (12, 2), (13, 3), (14, 4), (15, 3)}
+
+
 @pytest.mark.parametrize("text", ["", "\\", "a\\b", "</s>", "<\\/s>", "[TURN][TEXT]</s><s>", "<<s>/s>", "[[INST]INST]", "</</s>s>", "\\\\</s>\\"])
 def test_escape_is_reversible(text):
     out = chat.escape(text)
