@@ -4,11 +4,13 @@ Both texts become templates: words lose case and outer punctuation; numbers, nam
 words that don't open a sentence) and units after a number become typed placeholders.  Windows
 of ``GRAM`` template words with at least ``LITERALS`` literal words are joined on their hash;
 windows with fewer are joined on the plain forms of all their words, slots included.
-Matched windows of one document and item are taken apart by their offset, so that each reading
-of the item in the document is judged alone; within one, every slot value of the item must map
+Matched windows of one document and item are grouped by their offset, and groups that keep the
+item's order with at most ``GAP`` words between them are chained, so that each reading of the item
+in the document is judged alone; within one, every slot value of the item must map
 to one value of the document (the majority's), and windows that contradict it are dropped.  A
 document leaks an item when the windows left cover at least ``COVERED`` of the item's words, or that
-share, and ``LEAST_WORDS`` at least, of those that lie in windows with enough literal words.
+share, and ``LEAST_WORDS`` at least, of those that lie in windows with enough literal words, or
+``PASSAGE`` of its words without a break.
 
 The benchmark's distinct window hashes are broadcast to thin out document windows before the
 join while they are at most ``BROADCAST_HASHES`` (counted first); beyond that all windows go
@@ -34,6 +36,8 @@ from tallybook.llm.shared import stored
 GRAM, LITERALS, COVERED = 5, 3, 0.8
 #: Words that template windows must cover where they are measured without the item's other words.
 LEAST_WORDS = 8
+#: Words, of item or document, that may lie between chained groups; unbroken words that are a leak by themselves.
+GAP, PASSAGE = 12, 13
 #: Largest number of benchmark window hashes that is broadcast.
 BROADCAST_HASHES = 4_000_000
 #: Distinct words that a worker remembers before it starts anew.
@@ -194,20 +198,63 @@ def covered_words(hits: list[tuple[int, int, str, str]], size: int) -> tuple[int
     """Most item words covered consistently by one reading, and whether slots differ there.
 
     ``hits`` are (item window, document window, item slots, document slots)."""
-    return max(((len(words), changed) for words, changed, _ in readings([(*h, True) for h in hits], size)), default=(0, False))
+    return max(((len(words), changed) for words, changed, _, _ in readings([(*h, True) for h in hits], size)), default=(0, False))
 
 
-def readings(hits: list[tuple[int, int, str, str, bool]], size: int) -> Iterator[tuple[set[int], bool, set[int]]]:
-    """Item words covered consistently by each reading, whether slots differ there, and the words
-    covered by typed windows.  ``hits`` are as above, with whether the window is typed."""
+def readings(hits: list[tuple[int, int, str, str, bool]], size: int) -> Iterator[tuple[set[int], bool, set[int], int]]:
+    """Item words covered consistently by each reading, whether slots differ there, the words covered
+    by typed windows, and the longest unbroken passage.  ``hits`` are as above, with whether the
+    window is typed.  A reading is a group of hits or a chain of groups."""
     hits = sorted(hits, key=lambda x: (x[1] - x[0], x[1]))
+    groups = []
     begin = 0
     for k in range(1, len(hits) + 1):
         if k < len(hits) and hits[k][1] - hits[k][0] - (hits[k - 1][1] - hits[k - 1][0]) <= 1:
             continue
-        kept, changed = consistent(hits[begin:k])
+        groups.append(hits[begin:k])
         begin = k
-        yield {w for h in kept for w in range(h[0], h[0] + size)}, changed, {w for h in kept if h[4] for w in range(h[0], h[0] + size)}
+    chained = [*groups, *([x for g in chain for x in g] for chain in chains(groups, size))]
+    for group in chained:
+        kept, changed = consistent(group)
+        yield {w for h in kept for w in range(h[0], h[0] + size)}, changed, {w for h in kept if h[4] for w in range(h[0], h[0] + size)}, unbroken(kept, size)
+
+
+def chains(groups: list[list[tuple[int, int, str, str, bool]]], size: int) -> Iterator[list[list[tuple[int, int, str, str, bool]]]]:
+    """For each group that can follow another one, the chain ending in it that has most words."""
+    ranked = []
+    for g in groups:
+        j, i = [h[0] for h in g], [h[1] for h in g]
+        ranked.append((min(i), max(i), min(j), max(j), len({w for x in j for w in range(x, x + size)}), g))
+    ranked.sort(key=lambda x: x[:4])
+    longest = max((x[1] - x[0] for x in ranked), default=0)
+    best: list[tuple[int, int | None]] = []
+    for k, (i0, _, j0, j1, n, _) in enumerate(ranked):
+        mine = (n, None)
+        for m in range(k - 1, -1, -1):
+            a = ranked[m]
+            if i0 - a[0] > longest + size + GAP:
+                break
+            if a[0] < i0 and a[2] < j0 and a[3] < j1 and i0 - a[1] - size <= GAP and j0 - a[3] - size <= GAP:
+                mine = max(mine, (best[m][0] + n - max(0, a[3] + size - j0), m), key=lambda x: x[0])
+        best.append(mine)
+    for k, (_, before) in enumerate(best):
+        if before is not None:
+            chain = [k]
+            while (before := best[chain[-1]][1]) is not None:
+                chain.append(before)
+            yield [ranked[m][5] for m in reversed(chain)]
+
+
+def unbroken(hits: list[tuple[int, int, str, str, bool]], size: int) -> int:
+    """Most item words in a row that stand in a row in the document as well."""
+    most = first = 0
+    last = None
+    for offset, j in sorted({(h[1] - h[0], h[0]) for h in hits}):
+        if last is None or last[0] != offset or j > last[1] + size:
+            first = j
+        last = (offset, j)
+        most = max(most, j + size - first)
+    return most
 
 
 def consistent(hits: list[tuple[int, int, str, str, bool]]) -> tuple[list[tuple[int, int, str, str, bool]], bool]:
@@ -227,8 +274,8 @@ def consistent(hits: list[tuple[int, int, str, str, bool]]) -> tuple[list[tuple[
 def judged(hits: list[tuple[int, int, str, str, bool]], size: int, n_words: int, n_typed: int) -> tuple[bool, int, bool]:
     """Whether a reading leaks the item, and its words and change; the best of all readings."""
     best = (False, 0, False)
-    for words, changed, typed in readings(hits, size):
-        leak = len(words) >= COVERED * n_words or len(typed) >= max(COVERED * n_typed, LEAST_WORDS)
+    for words, changed, typed, passage in readings(hits, size):
+        leak = len(words) >= COVERED * n_words or len(typed) >= max(COVERED * n_typed, LEAST_WORDS) or passage >= PASSAGE
         best = max(best, (leak, len(words), changed))
     return best
 

@@ -129,6 +129,18 @@ def test_decontamination_of_dense_items(spark, docs_of, make_text):
         assert got == {(10, 0), (11, 1), (12, 2), (13, 3), (14, 4), (15, 3)}
 
 
+def test_decontamination_of_edited_and_partial_items(spark, docs_of, make_text):
+    words = make_text(88, 59).split()
+    short = make_text(89, 24).split()
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(short))], "item_id long, text string")
+    inside = lambda k, w: (k, make_text(60 + k, 40) + " " + " ".join(w) + " " + make_text(90 + k, 40))
+    rows = [inside(1, [*short[:12], "put", "in", *short[12:]]), inside(2, [*short[:11], *short[13:]]), inside(3, words[10:50]), inside(4, words[:13]), inside(5, words[:12]), inside(6, [*short[12:], *make_text(5, 30).split(), *short[:12]])]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs_of(rows), bench).collect()}
+    assert got == {(1, 2), (2, 2), (3, 1), (4, 1)}
+    far = [(j, j + 100 * (j >= 6), "", "") for j in range(14) if j not in (4, 5)]
+    assert decontam.covered_words(far, 5)[0] < 18 and decontam.covered_words([(j, j + 2 * (j >= 6), "", "") for j, *_ in far], 5)[0] == 18
+
+
 @pytest.mark.parametrize("text", ["", "\\", "a\\b", "</s>", "<\\/s>", "[TURN][TEXT]</s><s>", "<<s>/s>", "[[INST]INST]", "</</s>s>", "\\\\</s>\\"])
 def test_escape_is_reversible(text):
     out = chat.escape(text)
