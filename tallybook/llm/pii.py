@@ -5,6 +5,9 @@ them (split and extract agree on the leftmost non-overlapping matches), so offse
 of lengths in code points.  Base kinds keep every confirmed span whatever the context says;
 the method's own kinds (``iban``, ``secret``) are kept from ``KEEP_SCORE`` on.
 
+An account number is read at its country's length, so that a capitalised word, a code or another
+number after it stays outside; the longest run is the reading where the country has none.
+
 Patterns start with a look-ahead and refuse to start inside a run that the previous match
 did not end (``\\G``): the matches are those of the plain pattern, in linear time on long runs.
 
@@ -21,6 +24,13 @@ from pyspark.sql import functions as F
 KEEP_SCORE = 50
 #: Code points before and after a span in which context words count.
 NEAR = 40
+#: Characters of an account number by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE BI", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Z0-9])"
+_REGISTERED = "|".join(c.replace(" ", "|") for c in IBAN_LENGTHS.values())
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: kind -> (pattern, score of a confirmed span, words that raise it, words that lower it)
 KINDS: dict[str, tuple[str, int, str, str]] = {
@@ -28,7 +38,7 @@ KINDS: dict[str, tuple[str, int, str, str]] = {
     "ip": (r"(?=[0-9])(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", 60, "ip|host|server|address", "version|release"),
     "card": (r"[0-9](?:[ -]?[0-9])++", 80, "card|visa|credit|payment", "order|serial|tracking"),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", 70, "phone|tel|call|mobile", "serial|isbn"),
-    "iban": (r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+", 60, "iban|account|konto|bank|compte|cuenta", "serial|model|isbn"),
+    "iban": (rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN}|(?!{_REGISTERED})[A-Z]{{2}}[0-9]{{2}}(?: ?(?!{_IBAN})[A-Z0-9]){{11,30}}+)", 60, "iban|account|konto|bank|compte|cuenta", "serial|model|isbn"),
     "secret": (r"(?:token|secret|password|api_key) ?[=:] ?\"[A-Za-z0-9_./+-]{16,}+\"", 60, "auth|key|login", "example|dummy|placeholder"),
 }
 BASE = ("email", "ip", "card", "phone")

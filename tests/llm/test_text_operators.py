@@ -56,6 +56,14 @@ def test_pii(docs_of):
     assert pii.masked(docs_of(rows)).columns == docs_of(rows).columns and pii.found(docs_of([])).count() == 0
 
 
+def test_iban_before_capitals(docs_of):
+    rows = [(1, "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF"), (2, "IBAN DE89370400440532013000 Please confirm"), (3, "GB29 NWBK 6016 1331 9268 19 DE89 3704 0044 0532 0130 00 12"), (4, "XX12 ABCD 1234 5678 DE89 3704 0044 0532 0130 00"), (5, "DE89 3704 0044 0532 0130 01 BIC"), (6, "DE893704004405320130001 BIC")]
+    got = {r.doc_id: r.spans for r in pii.found(docs_of(rows)).collect()}
+    iban = {i: [x for x in s.split(",") if x.startswith("iban")] for i, s in got.items()}
+    assert iban == {1: ["iban:5:32"], 2: ["iban:5:27"], 3: ["iban:0:27", "iban:28:55"], 4: ["iban:20:47"], 5: [], 6: []}
+    assert pii.masked(docs_of(rows[:1])).first().text == "IBAN [IBAN] BIC COBADEFF"
+
+
 def test_quality_order_does_not_matter(docs_of, make_text):
     make_text = lambda seed, n, f=make_text: f(seed, n).translate({48 + i: 103 + i for i in range(10)})
     rows = [(1, make_text(1, 80)), (2, None), (3, ""), (4, "a b c " * 60), (5, make_text(2, 60).upper()), (6, make_text(3, 60) + " ###" * 9), (7, "\n".join(["same line of words here"] * 30 + [make_text(4, 90)])), (7, make_text(1, 80))]
