@@ -66,6 +66,24 @@ def subset_recovery(s, d):
     return recover.recovered(o, t)
 
 
+@query()
+def malformed_options_whole(s, d):
+    """malformed_options over all lines, with every option within two edits."""
+    p = F.col("price")
+    seen = F.concat(F.translate(F.lpad((p % 100).cast("string"), 2, "0"), "0158", "OISB"), F.when(F.col("l_partkey") % 3 == 0, "1").otherwise(""))
+    return recover.price_options(v.lines(s, d).select((F.col("receipt_id") * 100 + F.col("line_no")).alias("id"), F.floor(p / 100).alias("whole"), seen.alias("observed")))
+
+
+@query()
+def subset_recovery_whole(s, d):
+    """subset_recovery over all lines of all receipts."""
+    f = v.lines(s, d).select("receipt_id", "line_no", (F.floor(F.col("price") / 100) * 100).alias("low"), (F.col("price") % 100).alias("dd"))
+    t = f.groupBy("receipt_id").agg(F.sum(F.col("low") + F.col("dd")).alias("target"))
+    tries = F.array_union(F.array(*[F.lit(x).cast("bigint") for x in (0, 25, 50, 75)]), F.array("dd"))
+    o = f.withColumn("x", F.explode(tries)).select("receipt_id", "line_no", (F.col("low") + F.col("x")).alias("cents"), F.abs(F.col("x") - F.col("dd")).cast("int").alias("score"))
+    return recover.recovered(o, t)
+
+
 @query()
 def line_matching(s, d):
     a = v.lines(s, d).select("receipt_id", F.col("line_no").alias("wanted"), (F.col("price") % 3).alias("k"))
