@@ -56,7 +56,8 @@ STAGES = [
     ("pii", pii_stage),
     ("bpe", bpe_stage),
 ]
-#: Trained models, min-hashes and byte pairs are beyond SQL; the tests hold run() against brute force.
+#: Trained models, min-hashes and byte pairs are beyond SQL; the tests check which rows of a small table
+#: each stage keeps, and operators by themselves; there is no brute-force version of run().
 ORACLE_SQL = None
 
 
