@@ -157,6 +157,23 @@ def only(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns)
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` does not have, whatever its columns are called."""
+    taken, names = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = f"__{stem}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    """The columns by name, dots and quotes in names taken as they are."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 class tidy:
     """A worker function that gives freed memory back to the system when its task ends: workers live
     on between tasks, and what one held at most would stay theirs beside the next one's."""
