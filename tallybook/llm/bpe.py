@@ -1,24 +1,32 @@
 """BPE encoding and decoding over a distinct-word table.
 
-Texts are cut into the vocabulary's pieces ("words"); each distinct piece of the whole
-corpus is encoded once; ids come back to the texts by position; decoding goes through an
-id-to-piece table.  Two ways to bring ids back give the same rows:
+Texts are cut into the vocabulary's pieces ("words").  Documents are first dealt into chunks of
+about ``CHUNK_BYTES`` of text, stored in buckets by chunk so that no later step shuffles a text:
 
-* while the distinct-word table is at most ``TABLE_BYTES`` (its size is counted first), it is
-  broadcast as three flat arrays and looked up in place, so that no text is shuffled;
-* beyond that, (document, piece, positions) rows meet the table in a shuffle join on the
-  piece and return to their document in one grouped assembly.
+1. each chunk gives its distinct pieces, numbered by place in the chunk's sorted piece hashes;
+2. these (piece, chunk, place) rows are sorted by piece, and each distinct piece of the whole
+   corpus is encoded once, in one pass over the sorted rows;
+3. the ids go back to the chunks by place, where every document takes the ids of its pieces by
+   position; decoding goes through an id-to-piece table.
+
+Nothing is broadcast or sent to the driver, and the same way is taken at every size: a task holds
+one chunk with its pieces.  A piece in every chunk gives one row for each chunk, read as a stream.
+
+Cutting is vectorised over code points: classes of characters come from the library itself, asked
+once for the basic plane, and a text with other characters or with control strings is cut by it.
 
 Defined results: a null text counts as empty, an empty text has no ids; control strings of
-the vocabulary found in a text become their own id, as the tokenizers library does it;
-repeated doc_ids are each handled as a row of its own on the broadcast way, and need the
-hidden row key on the other, which is made from the doc_id and the text's position.
+the vocabulary found in a text become their own id, as the tokenizers library does it; repeated
+rows and doc_ids are each handled as a row of its own; an empty table gives no rows; ties cannot
+arise; extra columns are ignored.  A text longer than a chunk is a chunk.  Pieces of one chunk are told
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,21 +36,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm import textkit
-from tallybook.llm.shared import forget, release, stored
-
-#: Largest distinct-word table (bytes of its arrays) that is broadcast.
-TABLE_BYTES = 256 << 20
-#: Distinct pieces that one task holds before it passes them on.
-HELD_PIECES = 400_000
-#: The published split pattern of this byte-level vocabulary (fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Below this character the two Unicode tables that could be used for the pattern agree.
-AGREED = "՘"
+from tallybook.llm.shared import release, shared_folder
+
+#: Bytes of text in one chunk (one document at least).
+CHUNK_BYTES = 16 << 20
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
+SPACE, LETTER, NUMBER, OTHER = range(4)
+#: Endings that the vocabulary's published split pattern cuts off after an apostrophe (fixed values).
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 class Splitter:
-    """Cuts a text into pieces; control strings come first, as pieces of their own."""
+    """Cuts texts into pieces as the vocabulary does; control strings are pieces of their own.
+
+    The published pattern: an apostrophe with one of ``ENDINGS``; else a run of letters, of numbers
+    or of other characters, each with one blank before it if there is one; else a run of white space,
+    whose last character stands alone where something else follows."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -53,14 +62,25 @@ class Splitter:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.exact = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.whole = Tokenizer.from_file(path)
         self.whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.whole.encode_special_tokens = True
+        self.classes = self._classes()
+
+    def _classes(self) -> np.ndarray:
+        """Class of every character of the basic plane: it goes on a run of its own class."""
+        points = [c for c in range(1 << 16) if not 0xD800 <= c < 0xE000]
+        out = np.full(1 << 16, SPACE, np.uint8)
+        for kind, before in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")):
+            fresh = np.zeros(3 * len(points) + 1, bool)
+            fresh[[a for _, (a, _) in self.exact.pre_tokenize_str("".join(f"{before}{chr(c)}\n" for c in points))]] = True
+            out[np.array(points)[~fresh[1 : 3 * len(points) : 3]]] = kind
+        return out
 
     def pieces(self, text: str) -> list[str]:
+        """The pieces of one text, by the library's own pattern."""
         if self.cut is not None and any(x in text for x in self.special):
             out: list[str] = []
             for part in self.cut(text):
@@ -72,8 +92,6 @@ class Splitter:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if text.isascii() or max(text) < AGREED:
-            return self.find(text)
         return [text[a:b] for _, (a, b) in self.exact.pre_tokenize_str(text)]
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
@@ -84,7 +102,7 @@ class Splitter:
                 found[i] = [self.special[p]]
         return found
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, bytes]:
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Id-to-piece table: start and length of each id's bytes, and the bytes."""
         back = {c: b for b, c in byte_letters().items()}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -95,7 +113,7 @@ class Splitter:
             raw = own[i].encode() if i in own else bytes(back[c] for c in token)
             lengths[i] = len(raw)
             data.append(raw)
-        return np.cumsum(lengths) - lengths, lengths, b"".join(data)
+        return np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(data), np.uint8)
 
 
 def byte_letters() -> dict[int, str]:
@@ -107,6 +125,7 @@ def byte_letters() -> dict[int, str]:
 
 
 _SPLITTERS: dict[str, Splitter] = {}
+_TABLES: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 def splitter(path: str) -> Splitter:
@@ -115,77 +134,149 @@ def splitter(path: str) -> Splitter:
     return _SPLITTERS[path]
 
 
-def piece_hash(pieces: list[str], seed: int) -> np.ndarray:
-    """64-bit hashes of pieces, vectorised over their code points."""
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    points = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
-    ends = np.cumsum(lengths)
-    prefix = textkit.prefix_hash(points.astype(np.uint64) * np.uint64(2 * seed + 1) + np.uint64(seed + 1))
-    return textkit.range_hash(prefix, ends - lengths, ends)
-
-
-def distinct_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Each distinct piece of all texts, once (``piece``)."""
+def id_pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if path not in _TABLES:
+        _TABLES[path] = splitter(path).tables()
+    return _TABLES[path]
+
+
+class Pieces:
+    """The pieces of a step of texts: code points, pieces' first places (``start``, with the end of
+    all last), their 64-bit hashes, and the number of pieces of each text (``count``)."""
+
+    def __init__(self, texts: pa.Array, own: Splitter):
+        rows = [t or "" for t in texts.to_pylist()]
+        joined = "".join(rows)
+        self.codes = codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        ends = np.cumsum(sizes)
+        heads = (ends - sizes)[sizes > 0]
+        fresh = self._fresh(codes, heads, own.classes)
+        odd = np.zeros(len(rows), bool)
+        far = np.flatnonzero(codes >= 1 << 16)
+        odd[np.searchsorted(ends, far, "right")] = True
+        if any(x in joined for x in own.special):
+            odd |= np.fromiter((any(x in t for x in own.special) for t in rows), bool, len(rows))
+        for k in np.flatnonzero(odd):
+            lengths = [len(p) for p in own.pieces(rows[k])]
+            fresh[ends[k] - sizes[k] : ends[k]] = False
+            fresh[ends[k] - sizes[k] + np.cumsum([0, *lengths[:-1]])] = True
+        first = np.flatnonzero(fresh)
+        self.start = np.append(first, len(codes))
+        at = np.searchsorted(first, np.append(0, ends))
+        self.count = np.diff(at)
+        prefix = textkit.prefix_hash(codes.astype(np.uint64) + np.uint64(1))
+        self.hash = textkit.range_hash(prefix, self.start[:-1], self.start[1:])
+
+    @staticmethod
+    def _fresh(codes: np.ndarray, heads: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Whether a piece starts at each code point; ``heads`` are the first ones of texts."""
+        n = len(codes)
+        fresh = np.ones(n, bool)
+        if not n:
+            return fresh
+        kind = classes[np.minimum(codes, 0xFFFF)]
+        kind[codes >= 1 << 16] = OTHER
+        fresh[1:] = kind[1:] != kind[:-1]
+        opens = np.zeros(n + 4, bool)
+        opens[heads] = opens[n:] = True
+        fresh[heads] = True
+        after = np.flatnonzero((kind[1:] != SPACE) & (kind[:-1] == SPACE) & ~opens[1:n]) + 1
+        fresh[after - 1] = True
+        fresh[after[codes[after - 1] == 32]] = False
+        mark = np.flatnonzero((codes == 39) & fresh)
+        padded = np.append(codes, np.zeros(3, np.uint32))
+        for ending in ENDINGS:
+            size = len(ending)
+            fits = np.ones(len(mark), bool)
+            for k, c in enumerate(ending, 1):
+                fits &= (padded[mark + k] == ord(c)) & ~opens[mark + k]
+            here = mark[fits]
+            fresh[here + 1] = False
+            beyond = here + size + 1
+            fresh[beyond[beyond < n]] = True
+        return fresh
+
+    def texts(self, which: np.ndarray) -> pa.Array:
+        """The chosen pieces as strings."""
+        wide = 1 + (self.codes >= 0x80).astype(np.int64) + (self.codes >= 0x800) + (self.codes >= 0x10000)
+        at = np.zeros(len(self.codes) + 1, np.int64)
+        np.cumsum(wide, out=at[1:])
+        raw = np.frombuffer(self.codes.tobytes().decode("utf-32-le").encode(), np.uint8)
+        begin, end = at[self.start[which]], at[self.start[which + 1]]
+        return textkit.binary_rows(raw[textkit.ragged(begin, end - begin)], end - begin).cast(pa.string())
+
+
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """chunk, doc_id and text of every row, stored in buckets by chunk."""
+    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, held = splitter(vocabulary).pieces, set()
+        from pyspark import TaskContext
+
+        chunk, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for text in batch.column(0):
-                if text := text.as_py():
-                    held.update(cut(text))
-                if len(held) >= HELD_PIECES:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], ["piece"])
-                    held = set()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], ["piece"])
+            for part in textkit.steps(batch, "text"):
+                size = int(np.diff(textkit.offsets_of(part.column(1))[[0, -1]])[0])
+                if held and held + size > chunk_bytes:
+                    chunk, held = chunk + 1, 0
+                held += size
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, chunk)), part.column(0).cast(pa.int64()), part.column(1)], ["chunk", "doc_id", "text"])
 
-    return docs.select("text").mapInArrow(textkit.tidy(run), "piece string").distinct()
+    name = f"chunks_{uuid.uuid4().hex}"
+    dealt = docs.select("doc_id", "text").mapInArrow(textkit.tidy(run), "chunk long, doc_id long, text string")
+    dealt.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").bucketBy(textkit.shuffle_partitions(spark), "chunk").saveAsTable(name)
+    release(spark)
+    return spark.table(name)
 
 
-def encoded_pieces(pieces: DataFrame, vocabulary: str, seed: int = 0) -> DataFrame:
-    """piece, h (its hash), n (ids), ids (little-endian unsigned 32 bit): each piece encoded once."""
+def distinct_pieces(chunks: DataFrame, vocabulary: str) -> DataFrame:
+    """piece, chunk, place: each chunk's distinct pieces, numbered in the order of their hashes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = splitter(vocabulary).encode
-        for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                part = batch.column(0).slice(at, 20_000)
-                words = part.to_pylist()
-                ids = encode(words)
-                counts = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
-                yield pa.RecordBatch.from_arrays([part, pa.array(piece_hash(words, seed).view(np.int64)), pa.array(counts), textkit.binary_rows(flat, counts)], ["piece", "h", "n", "ids"])
+    def run(chunk: pa.Table) -> pa.Table:
+        own, hashes, texts = splitter(vocabulary), [], []
+        for batch in chunk.to_batches():
+            for part in textkit.steps(batch, "text"):
+                pieces = Pieces(part.column(part.schema.get_field_index("text")), own)
+                h, first = np.unique(pieces.hash, return_index=True)
+                hashes.append(h)
+                texts.append(pieces.texts(first))
+        every = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        _, first = np.unique(every, return_index=True)
+        found = pa.concat_arrays([pa.array([], pa.string()), *texts]).take(pa.array(first))
+        name = chunk.column("chunk")[0].as_py()
+        return pa.table([found, pa.array(np.full(len(first), name, np.int64)), pa.array(np.arange(len(first), dtype=np.int32))], ["piece", "chunk", "place"])
 
-    return pieces.mapInArrow(textkit.tidy(run), "piece string, h long, n long, ids binary")
+    return chunks.groupBy("chunk").applyInArrow(run, "piece string, chunk long, place int")
 
 
-def _packed(table: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The table as sorted hashes, id counts and flat ids of ``kind``.  Its size has been checked; the
-    driver holds it once and its parts by turns."""
+def encoded_pieces(pieces: DataFrame, vocabulary: str) -> DataFrame:
+    """chunk, place and ids (little-endian unsigned 32 bit) of every row, each distinct piece encoded once."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = splitter(vocabulary).encode
+        last: tuple[str, list[int]] | None = None
         for batch in batches:
-            ids = np.frombuffer(textkit.bytes_of(batch.column(2).cast(pa.binary()))[0].tobytes(), "<u4")
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (batch.column(0).to_numpy().tobytes(), batch.column(1).to_numpy().astype(np.uint32).tobytes(), ids.astype(kind).tobytes())], ["h", "n", "ids"])
-
-    rows = table.select("h", "n", "ids").mapInArrow(textkit.tidy(pack), "h binary, n binary, ids binary").toArrow()
-    h, n, ids = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_buffer(), t) for x in rows.column(k))]) for k, t in enumerate((np.uint64, np.uint32, kind)))
-    del rows
-    order = np.argsort(h, kind="stable")
-    starts = np.cumsum(n, dtype=np.int64) - n
-    flat = np.empty_like(ids)
-    at = 0
-    for k in range(0, len(order), 100_000):
-        part = order[k : k + 100_000]
-        piece = ids[textkit.ragged(starts[part], n[part].astype(np.int64))]
-        flat[at : at + len(piece)] = piece
-        at += len(piece)
-    return h[order], n[order], flat
-
-
-def _finish(doc_ids: pa.Array, flat: np.ndarray, counts: np.ndarray, pieces: tuple[np.ndarray, np.ndarray, bytes]) -> pa.RecordBatch:
+            for at in range(0, batch.num_rows, 50_000):
+                part = batch.slice(at, 50_000)
+                coded = part.column(0).dictionary_encode()
+                words = coded.dictionary.to_pylist()
+                known = last is not None and words[0] == last[0]
+                ids = ([last[1]] if known else []) + encode(words[1:] if known else words)
+                last = (words[-1], ids[-1])
+                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))
+                row = coded.indices.to_numpy()
+                starts = np.cumsum(n) - n
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), textkit.binary_rows(flat[textkit.ragged(starts[row], n[row])], n[row])], ["chunk", "place", "ids"])
+
+    return pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(textkit.tidy(run), "chunk long, place int, ids binary")
+
+
+def _finish(doc_ids: pa.Array, flat: np.ndarray, counts: np.ndarray, pieces: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
     """Rows from the ids of several documents, decoded through the id-to-piece table."""
     start, length, data = pieces
-    raw = np.frombuffer(data, np.uint8)[textkit.ragged(start[flat], length[flat])]
+    raw = data[textkit.ragged(start[flat], length[flat])]
     ends = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(counts, out=ends[1:])
     at = np.zeros(len(flat) + 1, np.int64)
@@ -195,84 +286,45 @@ def _finish(doc_ids: pa.Array, flat: np.ndarray, counts: np.ndarray, pieces: tup
     return pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()), pa.array(counts), textkit.binary_rows(flat.astype("<u4"), counts), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, table_bytes: int = TABLE_BYTES, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = SCHEMA) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = SCHEMA, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with its ids and the text decoded from them.
 
     ``finish`` may turn each batch of results into another (``schema``) within the same task.
     """
-    docs = textkit.only(docs, "doc_id", "text")
-    table = stored(encoded_pieces(distinct_pieces(docs, vocabulary), vocabulary), "pieces")
-    size = table.agg(F.count("*").alias("rows"), F.sum(F.col("n") * 4 + 12).alias("bytes"), F.countDistinct("h").alias("hashes")).first()
+    chunks = chunked(docs, chunk_bytes)
+    coded = encoded_pieces(distinct_pieces(chunks, vocabulary), vocabulary)
     then = finish or (lambda batch: batch)
-    if (size["bytes"] or 0) > table_bytes or size["hashes"] != size["rows"]:
-        return _by_shuffle(docs, table, vocabulary, then, schema)
-    kind = "<u2" if splitter(vocabulary).tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-    arrays = docs.sparkSession.sparkContext.broadcast(_packed(table, kind))
-    forget(table)
-    release(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n_ids, flat_ids = arrays.value
-        ends = np.cumsum(n_ids, dtype=np.int64)
-        own = splitter(vocabulary)
-        back = own.tables()
-        for batch in batches:
-            for part in textkit.steps(batch, "text"):
-                cut = [own.pieces(t) if t else [] for t in part.column(1).to_pylist()]
-                words = [w for x in cut for w in x]
-                per_doc = np.fromiter(map(len, cut), np.int64, len(cut))
-                where = np.searchsorted(known, piece_hash(words, 0)) if words else np.zeros(0, np.int64)
-                n = n_ids[where].astype(np.int64)
-                flat = flat_ids[textkit.ragged(ends[where] - n, n)]
-                upto = np.zeros(len(n) + 1, np.int64)
-                np.cumsum(n, out=upto[1:])
-                doc_ends = np.zeros(len(per_doc) + 1, np.int64)
-                np.cumsum(per_doc, out=doc_ends[1:])
-                yield then(_finish(part.column(0), flat, np.diff(upto[doc_ends]), back))
-
-    return docs.mapInArrow(textkit.tidy(run), schema)
-
-
-def _by_shuffle(docs: DataFrame, table: DataFrame, vocabulary: str, then: Callable, schema: str) -> DataFrame:
-    """The way without a broadcast: positions of each (document, piece) meet the ids on the piece."""
-    keyed = docs.withColumn("row_key", F.struct(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))).groupBy("row_key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-
-    def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = splitter(vocabulary).pieces
-        for batch in batches:
-            for part in textkit.steps(batch, "text"):
-                rows: list[int] = []
-                pieces: list[str] = []
-                at: list[bytes] = []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    found: dict[str, list[int]] = {}
-                    for k, p in enumerate(cut(text) if text else []):
-                        found.setdefault(p, []).append(k)
-                    rows += [i] * len(found)
-                    pieces += found
-                    at += [np.array(x, "<u4").tobytes() for x in found.values()]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.string()), pa.array(at, pa.binary())], ["row_key", "piece", "at"])
-
-    kind = keyed.schema["row_key"].dataType
-    spots = keyed.select("row_key", "text").mapInArrow(textkit.tidy(occur), f"row_key {kind.simpleString()}, piece string, at binary")
-    met = spots.join(table.select("piece", "ids"), "piece").groupBy("row_key").agg(F.collect_list(F.struct("at", "ids")).alias("spots"))
-    whole = keyed.select("row_key", "copies").join(met, "row_key", "left")
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = splitter(vocabulary).tables()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                spots = batch.column(2)[i].as_py() or []
-                at = [np.frombuffer(x["at"], "<u4") for x in spots]
-                order = np.argsort(np.concatenate(at)) if at else np.zeros(0, np.int64)
-                ids = [np.frombuffer(x["ids"], "<u4") for x in spots]
-                owner = np.repeat(np.arange(len(at)), [len(x) for x in at])[order] if at else order
-                flat = np.concatenate([ids[k] for k in owner]) if len(owner) else np.zeros(0, np.uint32)
-                one = _finish(pa.array([batch.column(0)[i].as_py()["doc_id"]], pa.int64()), flat, np.array([len(flat)]), back)
-                for _ in range(batch.column(1)[i].as_py()):
-                    yield then(one)
-
-    return whole.select("row_key", "copies", "spots").mapInArrow(textkit.tidy(assemble), schema)
+    def assemble(rows: pa.Table, coded: pa.Table) -> pa.Table:
+        own, back = splitter(vocabulary), id_pieces(vocabulary)
+        steps = [part for batch in rows.to_batches() for part in textkit.steps(batch, "text")]
+        cut = []
+        for part in steps:
+            pieces = Pieces(part.column(part.schema.get_field_index("text")), own)
+            cut.append((pieces.hash, pieces.count))
+        known, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in cut)]), return_inverse=True)
+        if len(known) != coded.num_rows:
+            raise ValueError("pieces of a chunk are missing")
+        ids = coded.column("ids").combine_chunks().cast(pa.large_binary()) if coded.num_rows else pa.array([], pa.large_binary())
+        table = np.frombuffer(textkit.bytes_of(ids)[0].tobytes(), "<u4")
+        upto = textkit.bytes_of(ids)[1] // 4
+        row = np.empty(len(known), np.int64)
+        row[coded.column("place").to_numpy()] = np.arange(len(known))
+        done, at = [], 0
+        for part, (h, count) in zip(steps, cut, strict=True):
+            which = row[place[at : at + len(h)]]
+            at += len(h)
+            n = upto[which + 1] - upto[which]
+            flat = table[textkit.ragged(upto[which], n)]
+            total = np.zeros(len(n) + 1, np.int64)
+            np.cumsum(n, out=total[1:])
+            ends = np.append(0, np.cumsum(count))
+            done.append(then(_finish(part.column(part.schema.get_field_index("doc_id")), flat, np.diff(total[ends]), back)))
+        out = pa.Table.from_batches(done)
+        textkit.trim()
+        return out
+
+    return chunks.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(assemble, schema)
 
 
 def digests(batch: pa.RecordBatch) -> pa.RecordBatch:

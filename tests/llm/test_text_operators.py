@@ -13,8 +13,8 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 ODD = [(1, None), (2, ""), (3, "a<|endoftext|>b <|endoftext|>"), (4, "  x\n\n y\t"), (5, "Ω՘꭬é'll don't   x"), (6, "日本語 1234 😀"), (7, "\x00\x1c a\x85b"), (8, "word " * 5000), (8, "other"), (None, "null id"), (4, "  x\n\n y\t")]
 
 
-@pytest.mark.parametrize("table_bytes", [1 << 20, 0])
-def test_bpe_round_trip(docs_of, table_bytes):
+@pytest.mark.parametrize("chunk_bytes", [1 << 24, 1])
+def test_bpe_round_trip(docs_of, chunk_bytes):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.vocabulary_path())
@@ -22,13 +22,13 @@ def test_bpe_round_trip(docs_of, table_bytes):
     for i, text in ODD:
         ids = t.encode(text or "", add_special_tokens=False).ids
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
-    got = bpe.encode_documents(docs_of(ODD), queries.vocabulary_path(), table_bytes, bpe.digests, bpe.DIGESTS).collect()
+    got = bpe.encode_documents(docs_of(ODD), queries.vocabulary_path(), bpe.digests, bpe.DIGESTS, chunk_bytes).collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-    assert bpe.encode_documents(docs_of([]), queries.vocabulary_path(), table_bytes).count() == 0
+    assert bpe.encode_documents(docs_of([]), queries.vocabulary_path(), chunk_bytes=chunk_bytes).count() == 0
 
 
-@pytest.mark.parametrize("table_bytes", [1 << 24, 0])
-def test_bpe_piece_of_many_ids(docs_of, table_bytes):
+@pytest.mark.parametrize("chunk_bytes", [1 << 24, 1])
+def test_bpe_piece_of_many_ids(docs_of, chunk_bytes):
     from tokenizers import Tokenizer
 
     r = random.Random(2)
@@ -36,10 +36,24 @@ def test_bpe_piece_of_many_ids(docs_of, table_bytes):
     t = Tokenizer.from_file(queries.vocabulary_path())
     want = {i: t.encode(text, add_special_tokens=False).ids for i, text in rows}
     assert len(want[50]) > 65_535
-    got = {x.doc_id: np.frombuffer(x.ids, "<u4").tolist() for x in bpe.encode_documents(docs_of(rows), queries.vocabulary_path(), table_bytes).collect()}
+    got = {x.doc_id: np.frombuffer(x.ids, "<u4").tolist() for x in bpe.encode_documents(docs_of(rows), queries.vocabulary_path(), chunk_bytes=chunk_bytes).collect()}
     assert got == want
 
 
+def test_bpe_cuts_as_the_library_does():
+    import pyarrow as pa
+
+    own, r = bpe.splitter(queries.vocabulary_path()), random.Random(1)
+    letters = [*"aab  '''stremvld  \n\n\t\r\x0b\x1c\x85\xa0 12\xb2١.,!-éßçñЖ中文ǅ́　", "'re", "'ll", "'s", " '", "<|endoftext|>", "😀", " ", "﻿"]
+    for _ in range(300):
+        rows = ["".join(r.choice(letters) for _ in range(r.randrange(25))) for _ in range(6)] + [None, ""]
+        pieces = bpe.Pieces(pa.array(rows, pa.string()), own)
+        flat, at = pieces.texts(np.arange(len(pieces.hash))).to_pylist(), 0
+        for text, n in zip(rows, pieces.count, strict=True):
+            assert flat[at : at + n] == (own.pieces(text) if text else [])
+            at += n
+
+
 def test_pii(docs_of):
     rows = [
         (1, "mail a.b+c@x-1.example.org now"), (2, "at 10.0.255.1 and 300.1.1.1 and 1.2.3.4.5.6.7.8"), (3, "card 4111 1111 1111 1111 or 4111 1111 1111 1112"), (4, "+1 (415) 555-0100 +12 3"),
