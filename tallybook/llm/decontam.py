@@ -310,5 +310,6 @@ def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that leak an item."""
-    bad = stored(leaks(docs, benchmark).select(F.col("rid").alias("__rid")).distinct(), "leaks")
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(bad, F.col("__key") == F.col("__rid"), "left_anti").drop("__key")
+    key, rid = textkit.fresh(docs, "key", "rid")
+    bad = stored(leaks(docs, benchmark).select(F.col("rid").alias(rid)).distinct(), "leaks")
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(bad, F.col(key) == F.col(rid), "left_anti").drop(key)

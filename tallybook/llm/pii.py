@@ -13,7 +13,8 @@ did not end (``\\G``): the matches are those of the plain pattern, in linear tim
 
 Defined results: a null text is empty; spans of different kinds may overlap in ``spans``; in
 masked text overlapping spans become one mask, named after the span that starts first (ties:
-the earlier kind); repeated rows and extra columns pass through unchanged.
+the earlier kind); repeated rows and extra columns, whatever their names, pass through unchanged; an
+empty table gives no rows; time grows little faster than a text's length, however many spans it has.
 """
 
 from __future__ import annotations
@@ -21,9 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.llm import textkit
+
 KEEP_SCORE = 50
 #: Code points before and after a span in which context words count.
 NEAR = 40
+#: Matches, or masks, that are placed together.
+BLOCK = 256
 #: Characters of an account number by country, as registered.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE BI", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
@@ -86,32 +91,46 @@ def _let(value: Column, body) -> Column:
 
 
 def spans_of(kind: str, text: Column) -> Column:
-    """array<struct<kind, start, end, score>> of one kind, in order of start."""
+    """array<struct<kind, start, end, score>> of one kind, in order of start.
+
+    Matches are placed ``BLOCK`` at a time, so that no running list is copied for every match, and
+    context is read from the block's own stretch of the text."""
     pattern, score, raising, lowering = KINDS[kind]
     shape = "array<struct<kind string, start int, end int, score int>>"
+    spot = "array<struct<start int, size int>>"
 
     def found(matches: Column) -> Column:
         return _let(F.split(text, pattern, -1), lambda gaps: kept(matches, gaps))
 
     def kept(matches: Column, gaps: Column) -> Column:
-        empty = F.array().cast("array<struct<start int, match string>>")
-        begin = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+        pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match")))
+        return _let(pairs, lambda p: _let(F.transform(blocks_of(F.size(p)), lambda k: block(F.slice(p, k * BLOCK + 1, BLOCK))), placed))
+
+    def block(pairs: Column) -> Column:
+        """Confirmed spans from the block's begin on, and the block's length."""
 
         def step(state: Column, pair: Column) -> Column:
-            start = state["at"] + F.length(pair["gap"])
-            return F.struct((start + F.length(pair["match"])).alias("at"), F.array_append(state["spans"], F.struct(start.alias("start"), pair["match"].alias("match"))).alias("spans"))
+            start, size = state["at"] + pair["gap"], F.length(pair["match"])
+            spans = F.when(confirmed(kind, pair["match"]), F.array_append(state["spans"], F.struct(start.alias("start"), size.alias("size")))).otherwise(state["spans"])
+            return F.struct((start + size).alias("at"), spans.cast(spot).alias("spans"))
+
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(spot).alias("spans")), step)
 
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-        placed = F.aggregate(pairs, begin, step, lambda state: state["spans"])
-        scored = F.transform(F.filter(placed, lambda s: confirmed(kind, s["match"])), lambda s: _let(s["start"] + F.length(s["match"]), lambda end: _scored(s["start"], end)))
-        return scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= KEEP_SCORE)
+    def placed(blocks: Column) -> Column:
+        grown = F.aggregate(blocks, F.array(F.lit(0)), lambda begins, x: F.array_append(begins, F.element_at(begins, -1) + x["at"]))
+        spans = F.flatten(_let(grown, lambda begins: F.transform(blocks, lambda x, k: F.when(F.size(x["spans"]) > 0, scored(x, F.get(begins, k))).otherwise(F.array().cast(shape)))))
+        return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= KEEP_SCORE)
 
-    def _scored(start: Column, end: Column) -> Column:
-        left = F.lower(F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR))))
-        right = F.lower(F.substring(text, end + 1, F.lit(NEAR)))
-        near = F.concat(left, F.lit(" "), right)
-        total = F.lit(score) + F.when(near.rlike(raising), 20).otherwise(0) - F.when(near.rlike(lowering), 30).otherwise(0)
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), total.alias("score"))
+    def scored(x: Column, begin: Column) -> Column:
+        low = F.greatest(begin - NEAR, F.lit(0))
+        around = F.substring(text, low + 1, begin - low + x["at"] + NEAR)
+        return _let(around, lambda near: F.transform(x["spans"], lambda s: one(near, begin - low + s["start"], s["size"], begin + s["start"])))
+
+    def one(near: Column, at: Column, size: Column, start: Column) -> Column:
+        left = F.substring(near, F.greatest(at - NEAR, F.lit(0)) + 1, F.least(at, F.lit(NEAR)))
+        words = F.lower(F.concat(left, F.lit(" "), F.substring(near, at + size + 1, F.lit(NEAR))))
+        total = _let(words, lambda w: F.lit(score) + F.when(w.rlike(raising), 20).otherwise(0) - F.when(w.rlike(lowering), 30).otherwise(0))
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + size).alias("end"), total.alias("score"))
 
     spans = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, found(m).cast(shape)).otherwise(F.array().cast(shape)))
     if kind in NEEDS:
@@ -119,10 +138,15 @@ def spans_of(kind: str, text: Column) -> Column:
     return spans
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``pii_spans``: all spans by kind as listed in KINDS, then by start."""
+def blocks_of(size: Column) -> Column:
+    """Numbers of the blocks that so many things fill; one at least."""
+    return F.sequence(F.lit(0), F.floor((F.greatest(size, F.lit(1)) - 1) / BLOCK).cast("int"))
+
+
+def all_spans() -> Column:
+    """All spans of ``text`` by kind as listed in KINDS, then by start."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("pii_spans", F.concat(*[spans_of(k, text) for k in KINDS]))
+    return F.concat(*[spans_of(k, text) for k in KINDS])
 
 
 def joined(spans: Column) -> Column:
@@ -130,36 +154,53 @@ def joined(spans: Column) -> Column:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """The contract's columns, and n_other: spans of the method's own kinds."""
-    rows = with_spans(docs.select("doc_id", "text")).select("doc_id", "pii_spans")
-    of = lambda *kinds: F.filter("pii_spans", lambda s: s["kind"].isin(*kinds))
+    """The contract's columns."""
+    rows = docs.select("doc_id", all_spans().alias("found"))
+    of = lambda *kinds: F.filter("found", lambda s: s["kind"].isin(*kinds))
     return rows.select(
         "doc_id",
         *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(joined(of(*BASE)), 256).alias("base_sha256"),
-        joined(F.col("pii_spans")).alias("spans"),
+        joined(F.col("found")).alias("spans"),
     )
 
 
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets, and n_chars anew."""
     columns = docs.columns
-    rows = with_spans(docs)
+    (spans,) = textkit.fresh(docs, "spans")
     text = F.col("text")
+    masks = "array<struct<before int, start int, kind string>>"
 
     def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        piece = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.array_append(state["out"], piece)).otherwise(state["out"]).alias("out"))
-
-    by_start = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(by_start, begin, step, lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text))))
-    fresh = F.when(F.size("pii_spans") > 0, clean).otherwise(text)
-    out = rows.withColumn("text", fresh)
+        """A span that begins within the ones before it joins their mask."""
+        own = F.struct(state["reach"].alias("before"), s["start"].alias("start"), s["kind"].alias("kind"))
+        out = F.when(s["start"] >= state["reach"], F.array_append(state["masks"], own)).otherwise(state["masks"])
+        return F.struct(F.greatest(state["reach"], s["end"]).alias("reach"), out.cast(masks).alias("masks"))
+
+    def block(state: Column, part: Column) -> Column:
+        begin = F.struct(state["reach"].alias("reach"), F.array().cast(masks).alias("masks"))
+        return _let(F.aggregate(part, begin, step), lambda x: F.struct(x["reach"].alias("reach"), F.array_append(state["masks"], x["masks"]).cast(f"array<{masks}>").alias("masks")))
+
+    def clean(state: Column) -> Column:
+        parts = F.filter(state["masks"], lambda x: F.size(x) > 0)
+        return _let(parts, lambda p: F.concat(F.array_join(F.transform(p, stretch), ""), F.substring(text, state["reach"] + 1, F.length(text))))
+
+    def stretch(part: Column) -> Column:
+        """The text from the end of the mask before this block to its last mask, masked."""
+        begin = F.element_at(part, 1)["before"]
+        cut = lambda own: lambda m: F.concat(F.substring(own, m["before"] - begin + 1, m["start"] - m["before"]), F.lit("["), F.upper(m["kind"]), F.lit("]"))
+        return _let(F.substring(text, begin + 1, F.element_at(part, -1)["start"] - begin), lambda own: F.array_join(F.transform(part, cut(own)), ""))
+
+    rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
+    by_start = F.array_sort(F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    parts = _let(by_start, lambda x: F.transform(blocks_of(F.size(x)), lambda k: F.slice(x, k * BLOCK + 1, BLOCK)))
+    state = F.aggregate(parts, F.struct(F.lit(0).alias("reach"), F.array().cast(f"array<{masks}>").alias("masks")), block)
+    fresh = F.when(F.size(F.col(spans)) > 0, _let(state, clean)).otherwise(text)
+    out = docs.withColumn(spans, all_spans()).withColumn("text", fresh)
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*textkit.quoted(columns))
 
 
 def _oracle() -> str:
