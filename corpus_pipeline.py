@@ -21,8 +21,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents in a recognised language stay; those without a letter or a clear language go."""
     textkit.small_batches(spark)
     model = language.fit(docs.where(language.training_rows(docs)))
-    found = language.predict(docs, model, tuple(docs.columns), ("__lang_pred", "__score"))
-    return found.where((F.col("__lang_pred") != "und") & (F.col("__score") >= LEAST_SHARE)).select(*docs.columns)
+    label, share = textkit.fresh(docs, "lang_pred", "share")
+    found = language.predict(docs, model, tuple(docs.columns), (label, share))
+    return found.where((F.col(label) != "und") & (F.col(share) >= LEAST_SHARE)).select(*textkit.quoted(docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
