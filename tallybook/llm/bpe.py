@@ -1,7 +1,7 @@
 """BPE encoding and decoding over a distinct-word table.
 
 Texts are cut into the vocabulary's pieces ("words").  Documents are first dealt into chunks of
-about ``CHUNK_BYTES`` of text, stored in buckets by chunk so that no later step shuffles a text:
+about ``CHUNK_BYTES`` of text, stored in buckets by chunk so that no later step shuffles a text (chunks.py):
 
 1. each chunk gives its distinct pieces, numbered by place in the chunk's sorted piece hashes;
 2. these (piece, chunk, place) rows are sorted by piece, and each distinct piece of the whole
@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,10 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm import textkit
-from tallybook.llm.shared import release, shared_folder
+from tallybook.llm.chunks import CHUNK_BYTES, chunked
 
-#: Bytes of text in one chunk (one document at least).
-CHUNK_BYTES = 16 << 20
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Endings that the vocabulary's published split pattern cuts off after an apostrophe (fixed values).
@@ -207,29 +204,6 @@ class Pieces:
         return textkit.binary_rows(raw[textkit.ragged(begin, end - begin)], end - begin).cast(pa.string())
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """chunk, doc_id and text of every row, stored in buckets by chunk."""
-    spark = docs.sparkSession
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        chunk, held = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            for part in textkit.steps(batch, "text"):
-                size = int(np.diff(textkit.offsets_of(part.column(1))[[0, -1]])[0])
-                if held and held + size > chunk_bytes:
-                    chunk, held = chunk + 1, 0
-                held += size
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, chunk)), part.column(0).cast(pa.int64()), part.column(1)], ["chunk", "doc_id", "text"])
-
-    name = f"chunks_{uuid.uuid4().hex}"
-    dealt = docs.select("doc_id", "text").mapInArrow(textkit.tidy(run), "chunk long, doc_id long, text string")
-    dealt.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").bucketBy(textkit.shuffle_partitions(spark), "chunk").saveAsTable(name)
-    release(spark)
-    return spark.table(name)
-
-
 def distinct_pieces(chunks: DataFrame, vocabulary: str) -> DataFrame:
     """piece, chunk, place: each chunk's distinct pieces, numbered in the order of their hashes."""
 
@@ -291,7 +265,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, finish: Callable[[pa.Reco
 
     ``finish`` may turn each batch of results into another (``schema``) within the same task.
     """
-    chunks = chunked(docs, chunk_bytes)
+    chunks = chunked(docs, chunk_bytes).select("chunk", "doc_id", "text")
     coded = encoded_pieces(distinct_pieces(chunks, vocabulary), vocabulary)
     then = finish or (lambda batch: batch)
 

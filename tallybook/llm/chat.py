@@ -14,7 +14,9 @@ Conversations given as rows by turn are the special case of one chain: the paren
 before (order: turn, then role, then text), so no row is lost where turns tie.
 
 Defined results: a null text is empty, a null role counts as an empty role; null turns come first;
-an empty table gives no conversations; extra columns are ignored.
+an empty table gives no conversations; extra columns are ignored.  Rows that repeat a message (tree and
+node) are one message, the least by parent, score, role and text.  A parent that isn't there counts as none.
+A message that reaches no root, because its parents go round in a circle, is on no path.
 """
 
 from __future__ import annotations
@@ -78,21 +80,29 @@ def chains(conversations: DataFrame) -> DataFrame:
     return rows.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
+def messages(forest: DataFrame) -> DataFrame:
+    """The forest with each message once."""
+    one = F.min(F.struct("parent", "score", "role", "text")).alias("one")
+    return forest.groupBy("tree", "node").agg(one).select("tree", "node", "one.parent", "one.score", "one.role", "one.text")
+
+
 def leaf_paths(forest: DataFrame, best: int = 1) -> DataFrame:
     """tree, leaf, rank: the ``best`` leaves of each tree by the score of their whole path.
 
-    The forest may hold any branching.  ``up`` is the ancestor reached so far, null once a root
-    is behind; every round joins each message with the one at ``up``."""
+    The forest may hold any branching, and each message once.  ``up`` is the ancestor reached so far, null
+    once a root is behind; every round joins each message with the one at ``up``, and no path has more
+    messages than the forest, so that circles end the rounds as well."""
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     parents = forest.select(F.col("tree").alias("t2"), F.col("parent").alias("p2")).where("p2 IS NOT NULL").distinct()
     reach = stored(forest.select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length")), "reach")
-    while reach.where("up IS NOT NULL").limit(1).count():
+    most, span = reach.count(), 1
+    while span <= most and not reach.where("up IS NOT NULL").isEmpty():
         above = reach.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("length").alias("length2"))
         joined = reach.join(above, same("tree", "t2") & (F.col("up") == F.col("n2")), "left")
         after = stored(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length")), "reach")
         forget(reach)
-        reach = after
-    leaves = reach.join(parents, same("tree", "t2") & (F.col("node") == F.col("p2")), "left_anti")
+        reach, span = after, span * 2
+    leaves = reach.where("up IS NULL").join(parents, same("tree", "t2") & (F.col("node") == F.col("p2")), "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("length"), "node")
     return leaves.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= best).select("tree", F.col("node").alias("leaf"), "rank", "length")
 
@@ -122,7 +132,7 @@ def on_paths(forest: DataFrame, leaves: DataFrame) -> DataFrame:
 
 def conversations_of(forest: DataFrame, best: int = 1) -> DataFrame:
     """tree, leaf, rank, formatted, mask of the chosen path of every tree."""
-    forest = stored(forest, "forest")
+    forest = stored(messages(forest), "forest")
     paths = on_paths(forest, stored(leaf_paths(forest, best), "leaves"))
     own = forest.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "role", "text")
     told = paths.join(own, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")))

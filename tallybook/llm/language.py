@@ -117,7 +117,8 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
         hashes, n = hashes[order], n[order]
         word_scores = np.log((n + 0.05) / (n.sum(0) + 1)).astype(np.float32)
         padded = F.concat(F.lit("<"), F.col("w"), F.lit(">"))
-        cuts = [F.when(F.length(padded) >= k, F.transform(F.sequence(F.lit(1), F.length(padded) - k + 1), lambda i, k=k: F.substring(padded, i, F.lit(k)))).otherwise(F.array()) for k in ORDERS]
+        cut = lambda k: F.transform(F.sequence(F.lit(1), F.length(padded) - k + 1), lambda i: F.substring(padded, i, F.lit(k)))
+        cuts = [F.when(F.length(padded) >= k, cut(k)).otherwise(F.array()) for k in ORDERS]
         grams, n = counts(words.select("lang", "n", F.explode(F.concat(*cuts)).alias("g")), "g")
     finally:
         words.unpersist()
@@ -216,8 +217,9 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     """The rows of ``docs`` with the columns in ``keep`` and two ``added`` ones, the prediction and its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = list(dict.fromkeys(("text", *keep)))
-    docs = docs.select(*textkit.quoted(names))
-    schema = StructType([docs.schema[n] for n in keep]).add(added[0], "string").add(added[1], "double")
+    kinds = {f.name: f for f in docs.schema.fields}
+    docs = docs.select(*textkit.quoted(names)).toDF("text", *[f"c{i}" for i in range(1, len(names))])
+    schema = StructType([kinds[n] for n in keep]).add(added[0], "string").add(added[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

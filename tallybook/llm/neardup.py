@@ -165,34 +165,92 @@ def _surplus(mine: np.ndarray, owner: np.ndarray, others: np.ndarray, their: np.
     return np.maximum(more, np.bincount(pair, np.maximum(-differ, 0), pairs))
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose words and word pairs differ by no more than their edits (``room``) can account for."""
+def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether the edit distance of two sequences is at most ``most``.
+
+    What they have in common at both ends is left out; the rest is aligned in a band around the
+    diagonal, a narrow one first.  A column of the band is two integers, whose bits say where the
+    distance goes up or down by one from a row to the next (bit-parallel, after Myers and Hyyrö)."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    if len(a) < len(b):
+        a, b = b, a
+    differ = a[: len(b)] != b
+    head = int(differ.argmax()) if differ.any() else len(b)
+    a, b = a[head:], b[head:]
+    differ = a[len(a) - len(b) :][::-1] != b[::-1]
+    tail = int(differ.argmax()) if differ.any() else len(b)
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not len(b):
+        return len(a) <= most
+    spots: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        spots[x] = spots.get(x, 0) | 1 << i
+    columns, width = b.tolist(), max(32, len(a) - len(b))
+    while True:
+        width = min(width, most)
+        if _banded(spots, len(a), columns, width) <= width:
+            return True
+        if width == most:
+            return False
+        width *= 4
+
+
+def _banded(spots: dict[int, int], rows: int, columns: list[int], k: int) -> int:
+    """The edit distance where it is at most ``k``, else something above.  ``spots`` has the rows of each symbol as
+    bits.  Bit i of column j's integers is row j - k + i; the distance is followed down the band's lower
+    edge and, from where that leaves the last row, along the last row."""
+    k = min(k, max(rows, len(columns)))
+    full, low = (1 << (2 * k + 1)) - 1, 1 << 2 * k
+    up, down = full ^ ((1 << k) - 1), 0
+    distance, edge = k, rows - k
+    for j, x in enumerate(columns, 1):
+        same = spots.get(x, 0)
+        same = (same << k - j + 1 if j <= k else same >> j - k - 1) & full
+        flat = (((same & up) + up) ^ up) | same | down
+        rise, fall = down | (full & ~(flat | up)), flat & up & full
+        if j <= edge:
+            distance += not flat & low
+        else:
+            at = rows - j + k
+            distance += (rise >> at & 1) - (fall >> at & 1)
+        if distance > k + len(columns) - j and j >= edge:
+            return k + 1
+        flat = (flat & full) >> 1
+        up, down = fall | (full & ~(flat | rise)), flat & rise
+    return distance
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs within ``room`` edits.  Those whose words and word pairs differ by more than that many
+    edits can account for are left out first."""
     for batch in batches:
         for part in textkit.steps(batch, "seq_a"):
             rooms = part.column(part.schema.get_field_index("room")).to_numpy()
-            sides = []
+            sides, texts = [], []
             for name in ("seq_a", "seq_b"):
-                codes, _, n = _codes(part.column(part.schema.get_field_index(name)))
+                codes, first, n = _codes(part.column(part.schema.get_field_index(name)))
                 owner = np.repeat(np.arange(len(n), dtype=np.uint64), n)
                 both = np.flatnonzero(owner[1:] == owner[:-1])
                 joined = textkit.mix64((codes[both] << np.uint64(24)) | codes[both + 1]) >> np.uint64(20)
                 sides.append((codes, owner, joined, owner[both]))
-            (wa, oa, pa_, qa), (wb, ob, pb, qb) = sides
-            good = (_surplus(wa, oa, wb, ob, len(rooms)) <= rooms) & (_surplus(pa_, qa, pb, qb, len(rooms)) <= 2 * rooms)
-            yield part.filter(pa.array(good))
+                texts.append(lambda k, codes=codes, first=first, n=n: codes[first[k] : first[k] + n[k]])
+            (words_a, of_a, pairs_a, of_pairs_a), (words_b, of_b, pairs_b, of_pairs_b) = sides
+            good = _surplus(words_a, of_a, words_b, of_b, len(rooms)) <= rooms
+            good &= _surplus(pairs_a, of_pairs_a, pairs_b, of_pairs_b, len(rooms)) <= 2 * rooms
+            for k in np.flatnonzero(good):
+                good[k] = within(texts[0](k), texts[1](k), int(rooms[k]))
+            yield part.select(["a", "b"]).filter(pa.array(good))
 
 
 def verified(pairs: DataFrame, seqs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose alignment passes.  Pairs whose words differ too much are left out without
-    one; the others are aligned in a narrow band first, then in wider ones up to the full one."""
+    """The pairs (a, b) that are links."""
     one = seqs.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("seq").alias("seq_a"))
     two = seqs.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("seq").alias("seq_b"))
     room = F.floor((1 - similar) * F.greatest("n_a", "n_b") + 1e-9).cast("int")
     met = pairs.join(one.hint("shuffle_merge"), "a").join(two.hint("shuffle_merge"), "b").withColumn("room", room)
-    met = met.where(F.abs(F.col("n_a") - F.col("n_b")) <= F.col("room")).select("a", "b", "room", "seq_a", "seq_b")
-    met = met.mapInArrow(textkit.tidy(_alike), "a long, b long, room int, seq_a string, seq_b string")
-    bands = [F.expr(f"levenshtein(seq_a, seq_b, least(room, {width})) >= 0") for width in ("8 + cast(room / 16 as int)", "16 + cast(room / 4 as int)", "room")]
-    return met.where(F.when(bands[0], True).when(bands[1], True).otherwise(bands[2])).select("a", "b")
+    met = met.where(F.abs(F.col("n_a") - F.col("n_b")) <= F.col("room"))
+    return met.select("a", "b", "room", "seq_a", "seq_b").mapInArrow(textkit.tidy(_links), "a long, b long")
 
 
 def counted(seqs: DataFrame, bins: int = BINS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tallybook.llm import neardup
@@ -17,6 +18,18 @@ def distance(a, b):
     return row[-1]
 
 
+def test_banded_alignment_against_the_whole_table():
+    r = random.Random(3)
+    for _ in range(1500):
+        a = [r.randrange(r.choice([2, 5, 50])) for _ in range(r.randrange(60))]
+        b = [x for x in a if r.random() > 0.1]
+        for _ in range(r.randrange(8)):
+            b.insert(r.randrange(len(b) + 1), r.randrange(50))
+        d = distance(a, b)
+        for most in {0, d - 1, d, d + 1, int(0.2 * max(len(a), len(b)))} - {-1}:
+            assert neardup.within(np.array(a, np.uint64), np.array(b, np.uint64), most) == (d <= most)
+
+
 @pytest.fixture(scope="module")
 def rows(make_text):
     rows, n = [], 0

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from tallybook.llm import substrings, suffixes
+from tallybook.llm import chunks, substrings, suffixes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -61,3 +61,17 @@ def test_repeated_spans(docs_of, rows):
 def test_empty(docs_of):
     assert substrings.remove_duplicates(docs_of([])).count() == 0
     assert suffixes.repeated_spans(docs_of([])).count() == 0
+
+
+def test_factors_are_copies(docs_of, rows):
+    docs = docs_of(rows)
+    words = {r.rid: (r.doc_id, WORD.findall(r.text or "")) for r in chunks.chunked(docs).collect()}
+    got = substrings.remove_duplicates(docs).collect()
+    assert any(r.factors for r in got)
+    for r in got:
+        own = WORD.findall(next(t or "" for i, t in rows if i == r.doc_id)) if [i for i, _ in rows].count(r.doc_id) == 1 else None
+        assert r.n_removed == len({w for f in r.factors for w in range(f.start, f.start + f.length)})
+        for f in r.factors if own is not None else []:
+            there = words[f.source][1]
+            assert f.length >= substrings.WINDOW and own[f.start : f.start + f.length] == there[f.source_start : f.source_start + f.length]
+            assert (words[f.source][0], f.source_start) != (r.doc_id, f.start)

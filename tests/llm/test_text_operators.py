@@ -196,6 +196,87 @@ def test_chains_and_trees(spark):
     assert [t for _, t in chat.read_back(chat.conversations_of(deep).first().formatted)] == [str(i) for i in range(40)]
 
 
+def test_circles_and_repeated_messages(spark):
+    rows = [(1, 1, None, "a"), (1, 2, 1, "b"), (1, 2, 1, "b"), (1, 2, 1, "b"), (2, 1, 2, "x"), (2, 2, 1, "y"), (2, 3, 2, "z"), (3, 1, 99, "orphan"), (3, 5, 5, "self")]
+    forest = spark.createDataFrame(rows, "tree long, node long, parent long, text string").selectExpr("tree", "node", "parent", "0D AS score", "'user' AS role", "text")
+    got = {r.tree: [t for _, t in chat.read_back(r.formatted)] for r in chat.conversations_of(forest).collect()}
+    assert got == {1: ["a", "b"], 3: ["orphan"]}
+
+
+def test_language_against_word_by_word(spark):
+    import math
+
+    r = random.Random(8)
+    stock = {"aa": ["lo", "mi", "réta"], "bb": ["kur", "dáß", "zen"], "cc": ["xu", "mi", "qe"]}
+    make = lambda lang, n: " ".join("".join(r.choices(stock[lang], k=r.randrange(1, 3))) for _ in range(n))
+    rows = [(i, make(list(stock)[i % 3], 8), list(stock)[i % 3]) for i in range(60)]
+    asked = [(100 + i, make(list(stock)[i % 3], 5) + " kurmi dáßqe neu xuxuxu 12") for i in range(9)] + [(200, "ZEN İx ́a"), (201, "ſ ς ΑΣ")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    words, grams, langs = {}, {}, sorted(stock)
+    for _, text, lang in rows:
+        for w in text.split():
+            words.setdefault(w, dict.fromkeys(langs, 0))[lang] += 1
+            for k in language.ORDERS:
+                for i in range(len(w) + 3 - k):
+                    grams.setdefault(f"<{w}>"[i : i + k], dict.fromkeys(langs, 0))[lang] += 1
+    total = {x: sum(n[x] for n in words.values()) + 1 for x in langs}
+    single = {x: sum(n[x] for g, n in grams.items() if len(g) == 1) for x in langs}
+
+    def gram(g, x):
+        n = grams[g][x]
+        context = single[x] if len(g) == 1 else grams.get(g[:-1], grams[g])[x]
+        return math.log((n + 0.05) / (max(context, n) + 1))
+
+    def word(w, x):
+        if w in words:
+            return math.log((words[w][x] + 0.05) / total[x])
+        text, out = f"<{w}>", 0.0
+        for end in range(2, len(text) + 1):
+            known = next(((s, k) for s, k in enumerate(language.ORDERS) if k <= end and text[end - k : end] in grams), None)
+            out += math.log(0.05 / (single[x] + 1)) + len(language.ORDERS) * math.log(language.BACKOFF) if known is None else gram(text[end - known[1] : end], x) + known[0] * math.log(language.BACKOFF)
+        return out
+
+    import regex
+
+    got = {x.doc_id: x for x in language.predict(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    for i, text in asked:
+        cut = regex.findall(language.LETTERS, text.lower())
+        score = [sum(word(w, x) for w in cut) / len(cut) * min(len(cut), language.EVIDENCE) for x in langs]
+        top = [math.exp(v - max(score)) for v in score]
+        assert got[i].lang_pred == langs[score.index(max(score))] and abs(got[i].score - max(top) / sum(top)) < 1e-4
+
+
+def test_pii_of_very_many_spans(docs_of):
+    r = random.Random(6)
+    parts, spans, at = [], [], 0
+    for i in range(700):
+        word = r.choice([f"u{i}@h.org", "10.0.0.7", "4111 1111 1111 1111", "12", "+1 415 555 0100", 'token="abcdefghij0123456789"', "é"])
+        kind = {"u": "email", "1": "ip" if "." in word else "", "4": "card", "+": "phone", "t": "secret", "é": ""}[word[0]]
+        if kind:
+            spans.append((["email", "ip", "card", "phone", "iban", "secret"].index(kind), at, at + len(word), kind))
+        parts.append(word)
+        at += len(word) + 3
+    text = " ; ".join(parts)
+    rows = docs_of([(1, text)])
+    assert pii.found(rows).first().spans == ",".join(f"{k}:{a}:{b}" for _, a, b, k in sorted(spans))
+    want, last = [], 0
+    for a, b, k in sorted((a, b, k) for _, a, b, k in spans):
+        want += [text[last:a], f"[{k.upper()}]"]
+        last = b
+    assert pii.masked(rows).first().text == "".join(want) + text[last:]
+
+
+def test_columns_of_any_name(spark, make_text):
+    import corpus_pipeline
+
+    names = ["pii_spans", "__spans", "__score", "__lang_pred", "__key", "__rid", "__node", "a.b", "kept", "chunk", "rid"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    docs = spark.createDataFrame([(i, make_text(i, 60) + f" a{i}@b.org", "en", "s", 1, *names) for i in range(4)], schema)
+    items = spark.createDataFrame([(1, make_text(99, 20))], "item_id long, text string")
+    for after in (pii.masked(docs), decontam.without_leaks(docs, items), corpus_pipeline.near_duplicate_stage(spark, docs, ""), corpus_pipeline.language_stage(spark, docs, "")):
+        assert after.columns == docs.columns and [tuple(r)[5:] for r in after.collect()] == [tuple(names)] * 4
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
