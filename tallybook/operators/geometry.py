@@ -63,13 +63,14 @@ def pair_candidates(boxes: DataFrame, width: int, reach: int) -> DataFrame:
 
 def best_slope(candidates: DataFrame, tolerance: int) -> DataFrame:
     """The slope that most pairs of distinct left rows support within ``tolerance``; ties to the flatter,
-    then the smaller."""
-    votes = candidates.groupBy("receipt_id", "slope").agg(F.collect_set("left_idx").alias("rows"))
-    a, b = votes.alias("a"), votes.alias("b")
-    met = a.join(b, (F.col("a.receipt_id") == F.col("b.receipt_id")) & (F.abs(F.col("a.slope") - F.col("b.slope")) <= tolerance))
-    backed = met.groupBy(F.col("a.receipt_id").alias("receipt_id"), F.col("a.slope").alias("slope")).agg(F.size(F.array_distinct(F.flatten(F.collect_list("b.rows")))).alias("support"))
-    order = Window.partitionBy("receipt_id").orderBy(F.desc("support"), F.abs("slope"), "slope")
-    return backed.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    then the smaller.
+
+    One pass over each receipt's candidates in order of slope: a left row supports the slopes from its own
+    less the tolerance up to its own plus it, so the rows behind a slope are those of a range window."""
+    near = Window.partitionBy("receipt_id").orderBy("slope").rangeBetween(-tolerance, tolerance)
+    backed = candidates.select("receipt_id", "slope", F.size(F.collect_set("left_idx").over(near)).alias("support"))
+    order = F.struct(F.col("support"), -F.abs("slope"), -F.col("slope"))
+    return backed.groupBy("receipt_id").agg(F.max_by(F.struct("slope", "support"), order).alias("best")).select("receipt_id", "best.slope", "best.support")
 
 
 def reading_order(boxes: DataFrame, band: int) -> DataFrame:

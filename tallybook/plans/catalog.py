@@ -245,14 +245,11 @@ v AS (SELECT *, try_cast(lpad(y::VARCHAR, 4, '0') || '-' || lpad(m::VARCHAR, 2,
 s AS (SELECT receipt_id, kind, day, base + greatest(10 - abs(year(day) - 2001), 0) AS score FROM v WHERE day IS NOT NULL AND year(day) BETWEEN 1990 AND 2100 AND (kind NOT LIKE '%2' OR abs(year(day) - 2001) < 10))
 SELECT receipt_id, strftime(day, '%Y-%m-%d') AS day, kind, score FROM (SELECT *, row_number() OVER (PARTITION BY receipt_id ORDER BY score DESC, kind) AS n FROM s) WHERE n = 1""")
 def date_rank(s, d):
-    from pyspark.sql import Window
-
     h = v.headers(s, d)
     k = F.col("receipt_id") % 4
     printed = F.when(k == 0, F.date_format("day", "yyyy-MM-dd")).when(k == 1, F.date_format("day", "MM/dd/yyyy")).when(k == 2, F.date_format("day", "dd/MM/yyyy")).otherwise(F.date_format("day", "MM/dd/yy"))
-    found = dates.readings(h.select("receipt_id", printed.alias("printed")), "printed", 2001)
-    w = Window.partitionBy("receipt_id").orderBy(F.desc("score"), "kind")
-    return found.withColumn("n", F.row_number().over(w)).where("n = 1").select("receipt_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "kind", "score")
+    found = h.select("receipt_id", dates.best_reading(printed, 2001).alias("best")).where("best IS NOT NULL")
+    return found.select("receipt_id", F.date_format("best.day", "yyyy-MM-dd").alias("day"), "best.kind", "best.score")
 
 
 _MONEY_TEXT = "CASE receipt_id % 6 WHEN 0 THEN '-' || (price // 100) || '.' || lpad((price % 100)::VARCHAR, 2, '0') WHEN 1 THEN (price // 100) || '.' || (price % 10) WHEN 2 THEN (price // 100)::VARCHAR WHEN 3 THEN (price // 100) || '.' || price WHEN 4 THEN '12x.' || (price % 100) ELSE (price // 100) || '.' || lpad((price % 100)::VARCHAR, 2, '0') END"
@@ -346,7 +343,11 @@ def upper_median(s, d):
     return geometry.upper_median(v.boxes(s, d), F.col("y1") - F.col("y0"), "height")
 
 
-_PAIRS = f"WITH {v.BOXES_SQL}, p AS (SELECT a.receipt_id, a.det_idx AS left_idx, b.det_idx AS right_idx, CAST(round(1000 * ((b.y0 + b.y1) / 2 - (a.y0 + a.y1) / 2) / (b.x0 - a.x0)) AS BIGINT) AS slope FROM det a JOIN det b ON a.receipt_id = b.receipt_id AND 5 * a.x1 <= 2000 AND 5 * b.x0 >= 3000 AND regexp_matches(b.text, '[0-9]') AND abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) <= 40)"
+_PAIRS = f"""WITH {v.BOXES_SQL},
+l AS (SELECT receipt_id, det_idx, x0, (y0 + y1) / 2 AS mid FROM det WHERE 5 * x1 <= 2000),
+r AS (SELECT receipt_id, det_idx, x0, x1, (y0 + y1) / 2 AS mid FROM det WHERE 5 * x0 >= 3000 AND regexp_matches(text, '[0-9]')),
+m AS (SELECT l.receipt_id, l.det_idx AS left_idx, r.det_idx AS right_idx, r.mid - l.mid AS rise, r.x0 - l.x0 AS run FROM l JOIN r ON l.receipt_id = r.receipt_id),
+p AS (SELECT receipt_id, left_idx, right_idx, CAST(round(1000 * rise / run) AS BIGINT) AS slope FROM m WHERE abs(rise) <= 40)"""
 
 
 @query(f"{_PAIRS} SELECT * FROM p")
