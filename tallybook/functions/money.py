@@ -38,3 +38,22 @@ def text(amount: Column) -> Column:
     """Cents with two decimals."""
     size = F.abs(amount)
     return F.concat(F.when(amount < 0, "-").otherwise(""), F.floor(size / 100).cast("string"), F.lit("."), F.lpad((size % 100).cast("string"), 2, "0"))
+
+
+def less(a: Column, b: Column) -> Column:
+    """``a`` without ``b``; null on overflow."""
+    return F.try_subtract(a.cast("bigint"), b.cast("bigint"))
+
+
+def whole_dollars(digits: Column) -> Column:
+    """Dollars without a fraction as cents; null on overflow or for anything else."""
+    return F.try_multiply(digits.try_cast("bigint"), F.lit(100).cast("bigint"))
+
+
+def scaled(text: Column, places: int) -> Column:
+    """A decimal text times 10**``places``, rounded half away from zero on the next digit; null without a whole part."""
+    plain = F.ltrim(F.trim(text), F.lit("-"))
+    whole = F.substring_index(plain, ".", 1).try_cast("bigint")
+    part = F.rpad(F.regexp_replace(F.when(F.contains(plain, F.lit(".")), F.substring(plain, F.instr(plain, ".") + 1, F.length(plain))).otherwise(""), "[^0-9]", ""), places + 1, "0")
+    size = F.try_multiply(whole, F.lit(10**places).cast("bigint")) + F.substring(part, 1, places).cast("bigint") + F.when(F.substring(part, places + 1, 1) >= "5", 1).otherwise(0)
+    return F.when(F.trim(text).startswith("-"), -size).otherwise(size)

@@ -13,6 +13,34 @@ def escaped(text: Column) -> Column:
     return F.regexp_replace(F.replace(F.translate(text, '"', "'"), F.lit("\\"), F.lit("\\\\")), r"[\r\n\x0B\x0C\x85  ]", " ")
 
 
+#: Accounts that wait for a tender of a kind, and for any other (fixed values).
+PENDING = {"gift_card": "Assets:GiftCards:PENDING", "cash": "Assets:Cash:PENDING", "store_credit": "Assets:StoreCredit:PENDING"}
+PENDING_OTHER = "Liabilities:CreditCard:PENDING"
+
+
+def pending_account(kind: Column) -> Column:
+    """The account that a tender of this kind is booked on until it is settled."""
+    out = F.lit(PENDING_OTHER)
+    for name, account in PENDING.items():
+        out = F.when(kind == name, account).otherwise(out)
+    return out
+
+
+def comment_text(text: Column) -> Column:
+    """Text for a comment, which ends where the line does: breaks become blanks."""
+    return F.regexp_replace(text, "[\\r\\n\\x0B\\x0C\\x85\u2028\u2029]", " ")
+
+
+def in_ledger_text(kind: Column) -> Column:
+    """Whether a warning is written into the ledger: all but the one that its posting tells already."""
+    return kind != "uncategorized_item"
+
+
+def card_digits(text: Column) -> Column:
+    """The last four digits of the first masked card number: two stars or more, blanks, four digits and no fifth."""
+    return F.nullif(F.regexp_extract(text, r"\*{2,}\s*([0-9]{4})(?![0-9])", 1), F.lit(""))
+
+
 def aligned_postings(postings: DataFrame, key: str) -> DataFrame:
     """Lines with account and amount padded to the widest of their receipt."""
     w = Window.partitionBy(key)
