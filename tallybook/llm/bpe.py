@@ -3,14 +3,14 @@
 Texts are cut into the vocabulary's pieces ("words").  Documents are first dealt into chunks of
 about ``CHUNK_BYTES`` of text, stored in buckets by chunk so that no later step shuffles a text (chunks.py):
 
-1. each chunk gives its distinct pieces, numbered by place in the chunk's sorted piece hashes;
-2. these (piece, chunk, place) rows are sorted by piece, and each distinct piece of the whole
-   corpus is encoded once, in one pass over the sorted rows;
-3. the ids go back to the chunks by place, where every document takes the ids of its pieces by
-   position; decoding goes through an id-to-piece table.
+1. each chunk gives its distinct pieces, dealt by hash into parts and packed, one row for each part;
+2. the rows of a part meet, and each distinct piece of the whole corpus is encoded once, in its part;
+3. the ids go back to the chunks in the same packing, where every document takes the ids of its
+   pieces by position; decoding goes through an id-to-piece table.
 
 Nothing is broadcast or sent to the driver, and the same way is taken at every size: a task holds
-one chunk with its pieces.  A piece in every chunk gives one row for each chunk, read as a stream.
+one chunk with its pieces, or one part, of which there are ``PARTS`` for each shuffle partition.  A piece
+that is in every chunk is one item of each chunk's list.
 
 Cutting is vectorised over code points: classes of characters come from the library itself, asked
 once for the basic plane, and a text with other characters or with control strings is cut by it.
@@ -31,12 +31,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallybook.llm import textkit
 from tallybook.llm.chunks import CHUNK_BYTES, chunked
 
+#: Parts of the distinct pieces for each shuffle partition.
+PARTS = 4
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Endings that the vocabulary's published split pattern cuts off after an apostrophe (fixed values).
@@ -204,8 +206,27 @@ class Pieces:
         return textkit.binary_rows(raw[textkit.ragged(begin, end - begin)], end - begin).cast(pa.string())
 
 
-def distinct_pieces(chunks: DataFrame, vocabulary: str) -> DataFrame:
-    """piece, chunk, place: each chunk's distinct pieces, numbered in the order of their hashes."""
+def packed(sizes: np.ndarray, data: bytes) -> bytes:
+    """Items of ``sizes`` bytes each, joined in ``data``, as one compressed string."""
+    return zstandard.compress(np.uint32(len(sizes)).tobytes() + sizes.astype("<u4").tobytes() + data, 3)
+
+
+def unpacked(whole: bytes) -> tuple[np.ndarray, bytes]:
+    whole = zstandard.decompress(whole)
+    n = 4 + 4 * int.from_bytes(whole[:4], "little")
+    return np.frombuffer(whole[4:n], "<u4").astype(np.int64), whole[n:]
+
+
+def by_group(hashes: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of pieces by group (hash modulo ``groups``), then as they are; the groups that have any, and where each begins."""
+    group = (hashes % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    names, begin = np.unique(group[order], return_index=True)
+    return order, names, np.append(begin, len(hashes))
+
+
+def distinct_pieces(chunks: DataFrame, vocabulary: str, groups: int) -> DataFrame:
+    """part, chunk, pieces: each chunk's distinct pieces in ``groups`` parts by hash, packed in the order of hashes."""
 
     def run(chunk: pa.Table) -> pa.Table:
         own, hashes, texts = splitter(vocabulary), [], []
@@ -215,36 +236,38 @@ def distinct_pieces(chunks: DataFrame, vocabulary: str) -> DataFrame:
                 h, first = np.unique(pieces.hash, return_index=True)
                 hashes.append(h)
                 texts.append(pieces.texts(first))
-        every = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        _, first = np.unique(every, return_index=True)
-        found = pa.concat_arrays([pa.array([], pa.string()), *texts]).take(pa.array(first))
+        known, first = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_index=True)
+        order, names, begin = by_group(known, groups)
+        raw, at = textkit.bytes_of(pa.concat_arrays([pa.array([], pa.string()), *texts]).take(pa.array(first[order])))
+        sizes, raw = np.diff(at), raw.tobytes()
+        rows = [packed(sizes[a:b], raw[at[a] : at[b]]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
         name = chunk.column("chunk")[0].as_py()
-        return pa.table([found, pa.array(np.full(len(first), name, np.int64)), pa.array(np.arange(len(first), dtype=np.int32))], ["piece", "chunk", "place"])
+        return pa.table([pa.array(names.astype(np.int32)), pa.array(np.full(len(names), name, np.int64)), pa.array(rows, pa.binary())], ["part", "chunk", "pieces"])
 
-    return chunks.groupBy("chunk").applyInArrow(run, "piece string, chunk long, place int")
+    return chunks.groupBy("chunk").applyInArrow(run, "part int, chunk long, pieces binary")
 
 
 def encoded_pieces(pieces: DataFrame, vocabulary: str) -> DataFrame:
-    """chunk, place and ids (little-endian unsigned 32 bit) of every row, each distinct piece encoded once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = splitter(vocabulary).encode
-        last: tuple[str, list[int]] | None = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 50_000):
-                part = batch.slice(at, 50_000)
-                coded = part.column(0).dictionary_encode()
-                words = coded.dictionary.to_pylist()
-                known = last is not None and words[0] == last[0]
-                ids = ([last[1]] if known else []) + encode(words[1:] if known else words)
-                last = (words[-1], ids[-1])
-                n = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))
-                row = coded.indices.to_numpy()
-                starts = np.cumsum(n) - n
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), textkit.binary_rows(flat[textkit.ragged(starts[row], n[row])], n[row])], ["chunk", "place", "ids"])
-
-    return pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(textkit.tidy(run), "chunk long, place int, ids binary")
+    """part, chunk, ids: the ids (little-endian unsigned 32 bit) of the packed pieces, packed likewise.  A piece
+    has one part, whichever chunks it is in, and is encoded there once."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        lists = [unpacked(x) for x in rows.column("pieces").to_pylist()]
+        sizes = np.concatenate([x for x, _ in lists])
+        every = textkit.binary_rows(np.frombuffer(b"".join(x for _, x in lists), np.uint8), sizes).cast(pa.string()).dictionary_encode()
+        ids = splitter(vocabulary).encode(every.dictionary.to_pylist())
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), "<u4", int(n.sum()))
+        starts, which = np.cumsum(n) - n, every.indices.to_numpy()
+        out, at = [], 0
+        for x, _ in lists:
+            mine = which[at : at + len(x)]
+            at += len(x)
+            out.append(packed(4 * n[mine], flat[textkit.ragged(starts[mine], n[mine])].tobytes()))
+        textkit.trim()
+        return pa.table([rows.column("part"), rows.column("chunk"), pa.array(out, pa.binary())], ["part", "chunk", "ids"])
+
+    return pieces.groupBy("part").applyInArrow(run, "part int, chunk long, ids binary")
 
 
 def _finish(doc_ids: pa.Array, flat: np.ndarray, counts: np.ndarray, pieces: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
@@ -266,7 +289,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, finish: Callable[[pa.Reco
     ``finish`` may turn each batch of results into another (``schema``) within the same task.
     """
     chunks = chunked(docs, chunk_bytes).select("chunk", "doc_id", "text")
-    coded = encoded_pieces(distinct_pieces(chunks, vocabulary), vocabulary)
+    groups = PARTS * textkit.shuffle_partitions(docs.sparkSession)
+    coded = encoded_pieces(distinct_pieces(chunks, vocabulary, groups), vocabulary)
     then = finish or (lambda batch: batch)
 
     def assemble(rows: pa.Table, coded: pa.Table) -> pa.Table:
@@ -277,13 +301,16 @@ def encode_documents(docs: DataFrame, vocabulary: str, finish: Callable[[pa.Reco
             pieces = Pieces(part.column(part.schema.get_field_index("text")), own)
             cut.append((pieces.hash, pieces.count))
         known, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in cut)]), return_inverse=True)
-        if len(known) != coded.num_rows:
-            raise ValueError("pieces of a chunk are missing")
-        ids = coded.column("ids").combine_chunks().cast(pa.large_binary()) if coded.num_rows else pa.array([], pa.large_binary())
-        table = np.frombuffer(textkit.bytes_of(ids)[0].tobytes(), "<u4")
-        upto = textkit.bytes_of(ids)[1] // 4
+        order, names, _ = by_group(known, groups)
+        by_part = dict(zip(coded.column("part").to_pylist(), coded.column("ids").to_pylist(), strict=True)) if coded.num_rows else {}
+        lists = [unpacked(by_part[k]) for k in names.tolist()]
+        sizes = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in lists)]) // 4
+        if len(sizes) != len(known):
+            raise ValueError("a chunk's pieces and their ids differ in number")
+        table = np.frombuffer(b"".join(x for _, x in lists), "<u4")
+        upto = np.append(0, np.cumsum(sizes))
         row = np.empty(len(known), np.int64)
-        row[coded.column("place").to_numpy()] = np.arange(len(known))
+        row[order] = np.arange(len(known))
         done, at = [], 0
         for part, (h, count) in zip(steps, cut, strict=True):
             which = row[place[at : at + len(h)]]
