@@ -90,7 +90,7 @@ def leaf_paths(forest: DataFrame, best: int = 1) -> DataFrame:
     """tree, leaf, rank: the ``best`` leaves of each tree by the score of their whole path.
 
     The forest may hold any branching, and each message once.  ``up`` is the ancestor reached so far, null
-    once a root is behind; every round joins each message with the one at ``up``, and no path has more
+    once a root is behind; every round joins each message that has one with it, and no path has more
     messages than the forest, so that circles end the rounds as well."""
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     parents = forest.select(F.col("tree").alias("t2"), F.col("parent").alias("p2")).where("p2 IS NOT NULL").distinct()
@@ -98,8 +98,9 @@ def leaf_paths(forest: DataFrame, best: int = 1) -> DataFrame:
     most, span = reach.count(), 1
     while span <= most and not reach.where("up IS NOT NULL").isEmpty():
         above = reach.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("length").alias("length2"))
-        joined = reach.join(above, same("tree", "t2") & (F.col("up") == F.col("n2")), "left")
-        after = stored(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length")), "reach")
+        joined = reach.where("up IS NOT NULL").join(above, same("tree", "t2") & (F.col("up") == F.col("n2")), "left")
+        further = joined.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length"))
+        after = stored(further.unionByName(reach.where("up IS NULL")), "reach")
         forget(reach)
         reach, span = after, span * 2
     leaves = reach.where("up IS NULL").join(parents, same("tree", "t2") & (F.col("node") == F.col("p2")), "left_anti")
