@@ -11,12 +11,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: Groups of characters by how easily they are mistaken for each other (fixed values).
-ALIKE = {0.1: ("0O", "1IL", "5S", "8B", "2Z", "6G"), 0.3: ("UV", "CG", "MN", "EF", "OQ", "0D", "OD", "VY"), 0.6: ("PR", "HN", "KX", "TI", "CO", "3B")}
-COSTS = {}
-for _cost, _groups in sorted(ALIKE.items(), reverse=True):
-    for _g in _groups:
-        COSTS |= {(a, b): _cost for a in _g for b in _g if a != b}
+#: Costs of reading one character as another: those that share a glyph, a skeleton, or are smeared (fixed values).
+ALIKE = {
+    0.1: ("0O", "1I", "1L", "IL", "5S", "8B", "2Z", "6G"),
+    0.3: ("0D", "0Q", "DO", "OQ", "CG", "CO", "EF", "HM", "HN", "MW", "UV"),
+    0.6: ("PR", "KX"),
+}
+COSTS = {pair: cost for cost, pairs in ALIKE.items() for a, b in pairs for pair in ((a, b), (b, a))}
 
 
 def confusion_cost(a: str, b: str) -> float:
@@ -25,31 +26,52 @@ def confusion_cost(a: str, b: str) -> float:
     return 0.0 if a == b else COSTS.get((a, b), 1.0)
 
 
+def letter_cost(a: Column, b: Column) -> Column:
+    """``confusion_cost`` of two capital letters as a column."""
+    out = F.lit(1.0)
+    both = F.concat(a, b)
+    for cost, pairs in ALIKE.items():
+        out = F.when(both.isin(*[x + y for p in pairs for x, y in (p, p[::-1])]), cost).otherwise(out)
+    return F.when(a == b, 0.0).otherwise(out)
+
+
+def _substitutions(a: str, b: str) -> np.ndarray:
+    """Costs of every letter of ``a`` against every letter of ``b``."""
+    known = sorted({*a, *b})
+    table = np.array([[confusion_cost(x, y) for y in known] for x in known]).reshape(len(known), len(known))
+    at = {c: i for i, c in enumerate(known)}
+    return table[np.ix_([at[c] for c in a], [at[c] for c in b])] if a and b else np.zeros((len(a), len(b)))
+
+
 def weighted_distance(a: str, b: str) -> float:
-    """Edit distance whose substitutions cost ``confusion_cost``; one row at a time."""
-    row = np.arange(len(b) + 1, dtype=float)
-    for i, x in enumerate(a, 1):
-        sub = row[:-1] + np.array([confusion_cost(x, y) for y in b]) if b else row[:0]
-        new = np.empty_like(row)
+    """Edit distance whose substitutions cost ``confusion_cost``.  A row is made at once: insertions are
+    a running minimum."""
+    steps = np.arange(len(b) + 1, dtype=float)
+    row = steps
+    for i, costs in enumerate(_substitutions(a, b), 1):
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + costs)
         new[0] = i
-        for j in range(1, len(row)):
-            new[j] = min(sub[j - 1], row[j] + 1, new[j - 1] + 1)
-        row = new
-    return float(row[-1])
+        row = np.minimum.accumulate(new - steps) + steps
+    return float(row[-1]) if len(a) else float(len(b))
 
 
 def substring_cost(needle: str, hay: str) -> tuple[float, int]:
-    """Cheapest alignment of ``needle`` with any substring of ``hay``, and where it starts."""
-    cost = np.zeros(len(hay) + 1)
-    start = np.arange(len(hay) + 1)
-    for i, x in enumerate(needle, 1):
-        new, begin = np.empty_like(cost), np.empty_like(start)
+    """Cheapest alignment of ``needle`` with any substring of ``hay``, and where it starts; infinite for a
+    needle longer than ``hay``."""
+    if not needle or len(needle) > len(hay):
+        return (0.0, 0) if not needle else (float("inf"), 0)
+    cost, start = np.zeros(len(hay) + 1), np.arange(len(hay) + 1)
+    for i, costs in enumerate(_substitutions(needle, hay), 1):
+        new, begin = cost + 1, start.copy()
+        better = cost[:-1] + costs <= new[1:]
+        new[1:][better], begin[1:][better] = (cost[:-1] + costs)[better], start[:-1][better]
         new[0], begin[0] = i, 0
-        for j in range(1, len(hay) + 1):
-            options = ((cost[j - 1] + confusion_cost(x, hay[j - 1]), start[j - 1]), (cost[j] + 1, start[j]), (new[j - 1] + 1, begin[j - 1]))
-            new[j], begin[j] = min(options, key=lambda o: o[0])
+        for j in np.flatnonzero(new[1:] > np.minimum.accumulate(new - np.arange(len(new)))[:-1] + np.arange(1, len(new))) + 1:
+            if new[j - 1] + 1 < new[j]:
+                new[j], begin[j] = new[j - 1] + 1, begin[j - 1]
         cost, start = new, begin
-    at = int(cost.argmin())
+    at = int(cost[1:].argmin()) + 1
     return float(cost[at]), int(start[at])
 
 

@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybook.functions import fuzzy
+from tallybook.operators.dimension import bounded
+
 HIGH, MEDIUM = 0.82, 0.66
 
 
 def resolve_exact(headers: DataFrame, keywords: DataFrame) -> DataFrame:
     """The longest keyword (keyword, canonical) in each header (header_id, header), then by name."""
-    met = headers.join(F.broadcast(keywords), F.contains(F.col("header"), F.col("keyword")))
+    met = headers.join(bounded(keywords), F.contains(F.col("header"), F.col("keyword")))
     w = Window.partitionBy("header_id").orderBy(F.desc(F.length("keyword")), "keyword")
     return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("header_id", "canonical", "keyword")
 
 
 def resolve_fuzzy(headers: DataFrame, families: DataFrame, similarity) -> DataFrame:
     """The most alike family name; ``similarity`` maps two columns to 0..1.  From HIGH on corrected,
-    from MEDIUM on suggested, else unknown.  The family table is a bounded dimension."""
-    met = headers.join(F.broadcast(families))
+    from MEDIUM on suggested, else unknown.  Each distinct header is compared once with the family
+    table, which is a bounded dimension."""
+    met = headers.select("header").distinct().join(bounded(families))
     scored = met.withColumn("likeness", F.round(similarity(F.col("header"), F.col("canonical")), 6))
-    w = Window.partitionBy("header_id").orderBy(F.desc("likeness"), "canonical")
-    best = scored.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    w = Window.partitionBy("header").orderBy(F.desc("likeness"), "canonical")
+    best = scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     status = F.when(F.col("likeness") >= HIGH, "corrected").when(F.col("likeness") >= MEDIUM, "suggested").otherwise("unknown")
-    return best.select("header_id", "canonical", "likeness", status.alias("status"))
+    return headers.join(best, "header").select("header_id", "canonical", "likeness", status.alias("status"))
 
 
 def expand_tokens(text: Column, vocabulary: dict[str, str]) -> Column:
@@ -34,16 +38,30 @@ def expand_tokens(text: Column, vocabulary: dict[str, str]) -> Column:
     return F.when(F.exists(tokens, lambda t: F.element_at(known, F.upper(t)).isNotNull()), F.array_join(out, " "))
 
 
-def equal_length_repairs(damaged: DataFrame, clean: DataFrame, cost, budget: int) -> DataFrame:
-    """damaged (id, text) against clean (text, label) of the same length: the cheapest repair whose
-    character costs (whole numbers) add up to ``budget`` at most, if its label is the only one at that cost."""
-    size = F.length
-    met = damaged.withColumn("_n", size("text")).join(F.broadcast(clean.withColumn("_n", size("clean"))), "_n")
-    places = F.zip_with(F.split("text", ""), F.split("clean", ""), cost)
-    met = met.withColumn("cost", F.aggregate(places, F.lit(0), lambda a, x: a + x)).where(F.col("cost") <= budget)
-    least = met.groupBy("id").agg(F.min("cost").alias("cost"))
-    tied = met.join(least, ["id", "cost"]).groupBy("id", "cost").agg(F.min("label").alias("label"), F.countDistinct("label").alias("n"))
-    return tied.where("n = 1").drop("n")
+def repeat_repairs(damaged: DataFrame, clean: DataFrame, budget: int = 1000, share: int = 250) -> DataFrame:
+    """damaged (receipt_id, line_no, text) against clean (receipt_id, clean) lines of the same receipt: the
+    cheapest repair of letters and digits, if only one text has that cost (in thousandths).
+
+    Both have as many letters and digits, and these cost ``budget`` at most, and ``share`` for each of them;
+    a letter that differs is taken from the clean line, everything else stays as it is."""
+    letters = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"[\p{L}\p{N}]"), F.lit(0))
+    ours = damaged.withColumn("_a", letters("text")).withColumn("_n", F.size("_a")).where("_n > 0")
+    theirs = clean.distinct().withColumn("_b", letters("clean")).withColumn("_n", F.size("_b"))
+    price = lambda a, b: F.when(F.upper(a) == F.upper(b), 0).otherwise(F.round(1000 * fuzzy.letter_cost(F.upper(a), F.upper(b))).cast("int"))
+    met = ours.join(theirs, ["receipt_id", "_n"]).withColumn("cost", F.aggregate(F.zip_with("_a", "_b", price), F.lit(0), lambda t, x: t + x).cast("long"))
+    met = met.where((F.col("cost") > 0) & (F.col("cost") <= F.least(F.lit(budget), share * F.col("_n"))))
+
+    def step(state: Column, c: Column) -> Column:
+        is_letter = c.rlike(r"[\p{L}\p{N}]")
+        other = F.get(F.col("_b"), state["i"])
+        taken = F.when(is_letter & (F.upper(c) != F.upper(other)), other).otherwise(c)
+        return F.struct((state["i"] + F.when(is_letter, 1).otherwise(0)).alias("i"), F.concat(state["out"], taken).alias("out"))
+
+    chars = F.filter(F.split("text", ""), lambda c: c != "")
+    met = met.withColumn("repaired", F.aggregate(chars, F.struct(F.lit(0).alias("i"), F.lit("").alias("out")), step, lambda s: s["out"]))
+    best = met.groupBy("receipt_id", "line_no").agg(F.min("cost").alias("cost"), F.collect_set(F.struct("cost", "repaired")).alias("_all"))
+    least = F.array_distinct(F.transform(F.filter("_all", lambda x: x["cost"] == F.col("cost")), lambda x: x["repaired"]))
+    return best.withColumn("_t", least).where("size(_t) = 1").select("receipt_id", "line_no", "cost", F.get("_t", F.lit(0)).alias("repaired"))
 
 
 def banner(lines: DataFrame, ratio: float = 1.8, top_share: float = 0.25) -> DataFrame:

@@ -22,5 +22,5 @@ def box_recall(wanted: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def exact_sample(rows: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """Exactly ``k`` rows (or all), chosen by a seeded hash."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k)
+    """Exactly ``k`` rows (or all), chosen by a seeded hash of the key that any engine can compute."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(k)

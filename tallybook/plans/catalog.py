@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions import dates, fuzzy, money
 from tallybook.functions import text as texts
+from tallybook.operators.dimension import bounded
 from tallybook.operators import balance, classify, geometry, ledger, merchant, report
 from tallybook.operators import lines as walks
 from tallybook.plans import receipts as receipt_plan
@@ -120,7 +121,7 @@ def balance_warnings(s, d):
 def uncategorized(s, d):
     items = _items(s, d)
     distinct = items.select("description").distinct().select(F.col("description").alias("item_id"), "description")
-    known = classify.matches(distinct, v.rules(s)).join(F.broadcast(v.accounts(s)), "path", "left_semi").select("description")
+    known = classify.matches(distinct, v.rules(s)).join(bounded(v.accounts(s)), "path", "left_semi").select("description")
     return items.join(known, "description", "left_anti").select("item_id", "description")
 
 
@@ -435,13 +436,19 @@ def merchant_weighted(s, d):
     return merchant.resolve_fuzzy(*_damaged(s, d), fuzzy.similarity)
 
 
-@query(f"WITH {v.LINES_SQL}, c AS (SELECT DISTINCT description AS clean, split_part(description, ' ', 2) AS label FROM rl), m AS (SELECT DISTINCT translate(description, 'OEL', '0F1') AS text FROM rl), x AS (SELECT text AS id, label, list_sum([CASE WHEN text[i] = clean[i] THEN 0 WHEN translate(text[i], '01', 'OL') = clean[i] THEN 1 ELSE 10 END for i in range(1, length(text) + 1)])::INT AS cost FROM m JOIN c ON length(text) = length(clean)), b AS (SELECT id, min(cost) AS cost FROM x WHERE cost <= 10 GROUP BY 1) SELECT id, x.cost, min(label) AS label FROM x JOIN b USING (id) WHERE x.cost = b.cost GROUP BY 1, 2 HAVING count(DISTINCT label) = 1")
+_ALIKE_SQL = " ".join(f"WHEN x || y IN ({', '.join(repr(g[0] + g[1]) + ', ' + repr(g[1] + g[0]) for g in pairs)}) THEN {round(1000 * cost)}" for cost, pairs in fuzzy.ALIKE.items())
+
+
+@query(f"""WITH {v.LINES_SQL}, d AS (SELECT receipt_id, line_no, translate(description, 'OEL', '0F1') AS text FROM rl WHERE line_no % 2 = 1), c AS (SELECT receipt_id, description AS clean FROM rl WHERE line_no % 2 = 0),
+p AS (SELECT DISTINCT receipt_id, line_no, text, clean, regexp_extract_all(text, '[A-Z0-9]') AS a, regexp_extract_all(clean, '[A-Z0-9]') AS b FROM d JOIN c USING (receipt_id)),
+u AS (SELECT receipt_id, line_no, text, clean, len(a) AS n, unnest(a) AS x, unnest(b) AS y FROM p WHERE len(a) = len(b)),
+k AS (SELECT receipt_id, line_no, text, clean, n, sum(CASE WHEN x = y THEN 0 {_ALIKE_SQL} ELSE 1000 END)::BIGINT AS cost FROM u GROUP BY ALL),
+f AS (SELECT * FROM k WHERE cost BETWEEN 1 AND least(1000, 250 * n)), m AS (SELECT receipt_id, line_no, min(cost) AS cost FROM f GROUP BY 1, 2)
+SELECT receipt_id, line_no, cost, min(clean) AS repaired FROM f JOIN m USING (receipt_id, line_no, cost) GROUP BY 1, 2, 3 HAVING count(DISTINCT clean) = 1""")
 def repeat_repair(s, d):
-    names = v.lines(s, d).select("description").distinct()
-    damaged = names.select(F.translate("description", "OEL", "0F1").alias("text")).distinct().select(F.col("text").alias("id"), "text")
-    clean = names.select(F.col("description").alias("clean"), F.split_part("description", F.lit(" "), F.lit(2)).alias("label"))
-    cost = lambda a, b: F.when(a == b, 0).when(F.translate(a, "01", "OL") == b, 1).otherwise(10)
-    return merchant.equal_length_repairs(damaged, clean, cost, 10).select("id", "cost", "label")
+    rows = v.lines(s, d).select("receipt_id", "line_no", "description")
+    damaged = rows.where("line_no % 2 = 1").select("receipt_id", "line_no", F.translate("description", "OEL", "0F1").alias("text"))
+    return merchant.repeat_repairs(damaged, rows.where("line_no % 2 = 0").select("receipt_id", F.col("description").alias("clean")))
 
 
 # --- ledger and reports ---------------------------------------------------------------------------------
@@ -481,7 +488,7 @@ def latency_summary(s, d):
     return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("value").alias("worst"), F.round(F.percentile("value", 0.9), 6).alias("p90"), F.round(F.median("value"), 6).alias("middle"))
 
 
-@query()
+@query("SELECT o_orderkey FROM (SELECT DISTINCT o_orderkey FROM orders) ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 100")
 def sample_exact(s, d):
     return report.exact_sample(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 100, 7)
 

@@ -13,11 +13,16 @@ from tallybook.plans import receipts
 
 
 def process_stream(boxes: DataFrame, sink: Callable[[dict[str, DataFrame], int], None], checkpoint: str, **trigger) -> StreamingQuery:
-    """Run the receipt plan on every micro-batch of a stream of boxes; ``sink`` gets its relations and the
+    """Run the receipt plan on every micro-batch of a stream of boxes.  All boxes of a receipt belong into one
+    batch (one file): those that come later make a receipt of their own. ``sink`` gets its relations and the
     batch number, which makes rewriting a batch after a failure safe."""
 
     def each(batch: DataFrame, number: int) -> None:
-        sink(receipts.process(batch), number)
+        made = receipts.process(batch)
+        try:
+            sink(made, number)
+        finally:
+            made["lines"].unpersist()
 
     return boxes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
