@@ -105,6 +105,23 @@ def lowered(clustered: DataFrame) -> DataFrame:
     return clustered.groupBy("receipt_id", "row_no").agg(words.alias("w"), F.min("y0").alias("top"), F.max("y1").alias("bottom")).select("receipt_id", "row_no", F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("line"), "top", "bottom")
 
 
+def line_spans(clustered: DataFrame) -> DataFrame:
+    """receipt_id, row_no, top, bottom and middle (mean centre, doubled) of each row."""
+    return clustered.groupBy("receipt_id", "row_no").agg(F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.avg(F.col("y0") + F.col("y1")).alias("middle2"))
+
+
+def to_lines(boxes: DataFrame, spans: DataFrame, reach: int) -> DataFrame:
+    """Boxes against the rows of their receipt at most ``reach`` away: shared height by the lower of the two,
+    whether either centre lies within the other, and how far the box's centre is from the row."""
+    met = boxes.alias("b").join(spans.alias("s"), (F.col("b.receipt_id") == F.col("s.receipt_id")) & (F.col("b.y0") <= F.col("s.bottom") + reach) & (F.col("b.y1") >= F.col("s.top") - reach))
+    centre = F.col("b.y0") + F.col("b.y1")
+    shared = F.greatest(F.least("b.y1", "s.bottom") - F.greatest("b.y0", "s.top"), F.lit(0))
+    low = F.greatest(F.least(F.col("b.y1") - F.col("b.y0"), F.col("s.bottom") - F.col("s.top")), F.lit(1e-6))
+    agree = centre.between(2 * F.col("s.top"), 2 * F.col("s.bottom")) | F.col("s.middle2").between(2 * F.col("b.y0"), 2 * F.col("b.y1"))
+    away = F.greatest(2 * F.col("s.top") - centre, centre - 2 * F.col("s.bottom"), F.lit(0)) / 2
+    return met.select("b.receipt_id", "b.det_idx", "s.row_no", F.round(shared / low, 6).alias("overlap"), agree.alias("centres_agree"), away.alias("away"))
+
+
 def indent_levels(boxes: DataFrame, link: int) -> DataFrame:
     """Left edges clustered by single linkage: level number and its boxes."""
     w = Window.partitionBy("receipt_id").orderBy("x0", "det_idx")

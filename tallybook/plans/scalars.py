@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallybook.functions import dates, labels, matching, money
 from tallybook.functions import text as texts
-from tallybook.operators import ledger
+from tallybook.operators import geometry, ledger
+from tallybook.operators import lines as walks
 from tallybook.plans import views as v
 from tallybook.plans.catalog import query
 
@@ -108,3 +109,61 @@ def number_scalars(s, d):
     top, day = F.lit(9223372036854775807), F.make_date((2000 + F.col("whole")).cast("int"), (1 + F.col("k") % 12).cast("int"), F.lit(28))
     edge = F.when(F.col("k") % 2 == 1, money.less(-top, F.col("price") + 1)).otherwise(money.less(top, F.col("price")))
     return rows.select("receipt_id", "line_no", money.scaled(F.col("num"), 4).alias("scaled"), money.less(F.col("price"), F.col("whole")).alias("less"), edge.alias("edge"), dates.is_leap_year(F.col("whole")).alias("leap"), *[F.get(dates.ymd(day), F.lit(i)).alias(name) for i, name in enumerate(("year", "month", "day"))], texts.letters(F.col("t")).alias("letters"))
+
+
+#: Lines with dates and what they are for, by (receipt_id + line_no) % 9; the text is the same for both engines.
+_DATED = """CASE k WHEN 0 THEN 'Return by date' WHEN 1 THEN concat('20', right(p, 2), '-0', CAST(line_no AS {0}), '-15') WHEN 2 THEN concat('Contest  closes ', 'Feb ', right(p, 1), '1, 2026') WHEN 3 THEN concat(right(p, 1), ' September 2025')
+ WHEN 4 THEN concat('2026-03-0', right(p, 1), ' 2', right(p, 1), ':05') WHEN 5 THEN concat('no 2025', right(p, 2), '31 end') WHEN 6 THEN '2026/03/07 23:59:01' WHEN 7 THEN concat(description, ' 12. 50 ', right(p, 2), '.99') ELSE description END"""
+_DATED_SQL = f"{v.LINES_SQL}, n AS (SELECT receipt_id, line_no, description, (receipt_id + line_no) % 9 AS k, lpad(l_partkey::VARCHAR, 9, '1') AS p FROM rl), t AS (SELECT *, {_DATED.format('VARCHAR')} AS t FROM n)"
+_HAS_DATE = "(" + " OR ".join(f"regexp_matches(?, '{x}')" for x in (dates.SEPARATED, dates.COMPACT, dates.MONTH_FIRST, dates.DAY_FIRST)) + ")"
+
+
+def _dated(s, d):
+    rows = v.lines(s, d).select("receipt_id", "line_no", "description", ((F.col("receipt_id") + F.col("line_no")) % 9).alias("k"), F.lpad(F.col("l_partkey").cast("string"), 9, "1").alias("p"))
+    return rows.withColumn("t", F.expr(_DATED.format("STRING")))
+
+
+@query(f"""WITH {_DATED_SQL}, a AS (SELECT *, coalesce(lag(t) OVER w, '') AS t1, coalesce(lag(t, 2) OVER w, '') AS t2 FROM t WINDOW w AS (PARTITION BY receipt_id ORDER BY line_no)),
+b AS (SELECT *, {_HAS_DATE.replace('(?,', '(t1,')} AS d1, {_HAS_DATE.replace('(?,', '(t2,')} AS d2, upper(t2 || ' ' || t1 || ' ' || t) AS near FROM a)
+SELECT receipt_id, line_no, contains(near, 'DATE') AND (contains(near, 'RETURN') OR contains(near, 'RETOUR')) AND NOT d1 AND NOT d2 AS return_by,
+ regexp_matches(t, '{dates.CONTEST}') OR (NOT d1 AND regexp_matches(t1, '{dates.CONTEST}')) OR (NOT d1 AND NOT d2 AND regexp_matches(t2, '{dates.CONTEST}')) AS contest_end FROM b""")
+def deadline_lines(s, d):
+    return walks.deadline_context(_dated(s, d), "receipt_id", "line_no", "t").select("receipt_id", "line_no", "return_by", "contest_end")
+
+
+@query(f"""WITH {_DATED_SQL}, w AS (SELECT receipt_id, line_no, t, k, p, CASE k WHEN 2 THEN try_strptime('2026-02-' || right(p, 1) || '1', '%Y-%m-%d') WHEN 3 THEN try_strptime('2025-09-0' || right(p, 1), '%Y-%m-%d')
+ WHEN 5 THEN CASE WHEN right(p, 2) IN ('01', '03', '05', '07', '08', '10', '12') THEN try_strptime('2025-' || right(p, 2) || '-31', '%Y-%m-%d') END END AS day FROM t)
+SELECT receipt_id, line_no, strftime(day, '%Y-%m-%d') AS written, CASE WHEN k = 7 THEN greatest(1250, right(p, 2)::BIGINT * 100 + 99) END AS largest FROM w""")
+def written_dates(s, d):
+    t = F.col("t")
+    return _dated(s, d).select("receipt_id", "line_no", F.date_format(dates.written_date(t), "yyyy-MM-dd").alias("written"), F.when(F.col("k") == 7, texts.largest_price(t)).alias("largest"))
+
+
+@query(f"""WITH {_DATED_SQL}, c AS (SELECT receipt_id, line_no, (line_no * 37) % 100 AS confidence, CASE k WHEN 4 THEN try_strptime('2026-03-0' || right(p, 1), '%Y-%m-%d') WHEN 6 THEN strptime('2026-03-07', '%Y-%m-%d') END AS day FROM t WHERE k = 6 OR (k = 4 AND right(p, 1) IN ('0', '1', '2', '3'))),
+g AS (SELECT receipt_id FROM c WHERE day IS NOT NULL GROUP BY 1 HAVING min(day) = max(day))
+SELECT receipt_id, line_no AS det_idx, strftime(day, '%Y-%m-%d') AS day FROM (SELECT *, row_number() OVER (PARTITION BY receipt_id ORDER BY confidence DESC, line_no DESC) AS n FROM c JOIN g USING (receipt_id) WHERE day IS NOT NULL) WHERE n = 1""")
+def header_timestamps(s, d):
+    rows = _dated(s, d).select("receipt_id", F.col("line_no").alias("det_idx"), F.col("t").alias("text"), ((F.col("line_no") * 37) % 100).alias("confidence"))
+    return walks.agreed_timestamp(rows).select("receipt_id", "det_idx", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@query(f"""WITH {v.BOXES_SQL}, o AS (SELECT *, y0 + y1 AS c2 FROM det WHERE det_idx % 2 = 0), g AS (SELECT *, c2 - lag(c2) OVER w AS gap FROM o WINDOW w AS (PARTITION BY receipt_id ORDER BY c2, det_idx)),
+r AS (SELECT *, CAST(sum(CASE WHEN gap > 24 THEN 1 ELSE 0 END) OVER (PARTITION BY receipt_id ORDER BY c2, det_idx) AS BIGINT) AS row_no FROM g), s AS (SELECT receipt_id, row_no, min(y0) AS top, max(y1) AS bottom, avg(y0 + y1) AS middle2 FROM r GROUP BY 1, 2),
+b AS (SELECT * FROM det WHERE det_idx % 2 = 1)
+SELECT b.receipt_id, b.det_idx, s.row_no, round(greatest(least(y1, bottom) - greatest(y0, top), 0) / greatest(least(y1 - y0, bottom - top), 0.000001), 6)::DOUBLE AS overlap, (y0 + y1 BETWEEN 2 * top AND 2 * bottom) OR (middle2 BETWEEN 2 * y0 AND 2 * y1) AS centres_agree,
+ greatest(2 * top - y0 - y1, y0 + y1 - 2 * bottom, 0) / 2 AS away FROM b JOIN s ON b.receipt_id = s.receipt_id WHERE y0 <= bottom + 20 AND y1 >= top - 20""")
+def line_distance(s, d):
+    x = v.boxes(s, d)
+    return geometry.to_lines(x.where("det_idx % 2 = 1"), geometry.line_spans(geometry.row_clusters(x.where("det_idx % 2 = 0"), 12)), 20)
+
+
+_SCORE = "(l_partkey * 7 + step * 13 + class * class * 29 + step * class * 3) % 101"
+
+
+@query(f"""WITH {v.LINES_SQL}, c AS (SELECT receipt_id * 100 + line_no AS id, step, class, {_SCORE} AS score FROM rl, (SELECT unnest(range(1, 9)) AS step), (SELECT unnest(range(0, 4)) AS class)),
+b AS (SELECT id, step, class, score FROM (SELECT *, row_number() OVER (PARTITION BY id, step ORDER BY score DESC, class DESC) AS n FROM c) WHERE n = 1), l AS (SELECT *, lag(class) OVER (PARTITION BY id ORDER BY step) AS before FROM b)
+SELECT id, coalesce(string_agg(class::VARCHAR, '|' ORDER BY step) FILTER (class <> 0 AND (before IS NULL OR before <> class)), '') AS classes, round(coalesce(avg(score) FILTER (class <> 0 AND (before IS NULL OR before <> class)), 0), 6) AS confidence FROM l GROUP BY id""")
+def ctc_best_path(s, d):
+    rows = v.lines(s, d).select((F.col("receipt_id") * 100 + F.col("line_no")).alias("id"), "l_partkey", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("step"))
+    rows = rows.withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("id", "step", "class", F.expr(_SCORE).alias("score"))
+    return walks.best_path(rows, "id")
