@@ -5,7 +5,7 @@ each of ``SKETCHES`` hash orders the ``PICKED`` smallest labelled k-mers are tak
 order* and hashed together, so that a sketch agrees when k-mers and their order agree.  Texts
 that agree in a sketch form a bucket.  Copies (equal texts) are one node from the start.
 
-Texts of up to ``SHORT`` words also get segment keys: of two texts within ``d`` edits, one has
+Texts of up to ``MIDDLE`` words have ``MORE`` sketches; those of up to ``SHORT`` words also get segment keys: of two texts within ``d`` edits, one has
 ``d + 1`` segments of which the other holds one at nearly its place, so no link among them is missed.
 
 A pair is a link when its word-level edit distance, from a banded alignment of width
@@ -45,10 +45,12 @@ from tallybook.llm.shared import apart, forget, stored
 GRAM, SKETCHES, PICKED, SIMILAR = 5, 80, 2, 0.8
 #: Longest text (words) that has segment keys.
 SHORT = 30
+#: Longest text (words) that has more sketches, and how many more: few k-mers are left between edits there.
+MIDDLE, MORE = 100, 100
 #: Members of a bucket in one block of the second round; bins that words, and word pairs, are counted in.
 BLOCK, BINS = 512, 512
 #: Pairs whose counts are compared in one vectorised step.
-STEP = 8192
+STEP = 2048
 
 
 def room(words: int, similar: float = SIMILAR) -> int:
@@ -100,11 +102,36 @@ def _codes(seqs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, np.cumsum(sizes) - sizes, sizes
 
 
+def _agreeing(keys: np.ndarray, sizes: np.ndarray, orders: range, picked: int) -> np.ndarray:
+    """The order-min-hashes of texts with ``sizes`` labelled k-mers each, a column for each hash order."""
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    bits = np.uint64(max(20, int(len(keys)).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    place = np.arange(len(keys)).astype(np.uint64)
+    at = np.cumsum(sizes) - sizes
+    padded = np.append(keys, np.uint64(0))
+    bands = np.zeros((len(sizes), len(orders)), np.uint64)
+    for column, i in enumerate(orders if len(sizes) else ()):
+        odd = textkit.mix64(np.array([i + 1], np.uint64))[0] | np.uint64(1)
+        v = ((keys * odd) >> bits << bits) | place
+        chosen = np.zeros((picked, len(sizes)), np.int64)
+        for j in range(picked):
+            spot = (np.minimum.reduceat(v, at) & low).astype(np.int64)
+            have = sizes > j
+            chosen[j] = np.where(have, spot, len(keys))
+            v[spot[have]] = top
+        chosen.sort(0)
+        out = np.full(len(sizes), i + 1, np.uint64)
+        for j in range(picked):
+            out = textkit.mix64(out * np.uint64(31) + padded[chosen[j]])
+        bands[:, column] = out
+    return bands
+
+
 def sketches(seqs: DataFrame, gram: int = GRAM, count: int = SKETCHES, picked: int = PICKED) -> DataFrame:
-    """node, bands: ``count`` order-min-hashes, and segment keys of short texts, of each row of (node, seq)."""
+    """node, bands: ``count`` order-min-hashes, more and segment keys of shorter texts, of each row of (node, seq)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = np.uint64(0xFFFFFFFFFFFFFFFF)
         for part in passages.gather(batches, "seq"):
             codes, first, n = _codes(part.column(1))
             spans = textkit.prefix_hash(textkit.mix64(codes))
@@ -122,27 +149,12 @@ def sketches(seqs: DataFrame, gram: int = GRAM, count: int = SKETCHES, picked: i
             label = np.empty(len(ranked), np.int64)
             label[order] = np.arange(len(ranked)) - heads[np.cumsum(fresh) - 1]
             keys = textkit.mix64(grams + textkit.mix64(label.astype(np.uint64)))
-            bits = np.uint64(max(20, int(len(keys)).bit_length()))
-            low = (np.uint64(1) << bits) - np.uint64(1)
-            place = np.arange(len(keys)).astype(np.uint64)
-            at = np.cumsum(sizes) - sizes
-            padded = np.append(keys, np.uint64(0))
-            bands = np.zeros((len(n), count), np.uint64)
-            for i in range(count):
-                odd = textkit.mix64(np.array([i + 1], np.uint64))[0] | np.uint64(1)
-                v = ((keys * odd) >> bits << bits) | place
-                chosen = np.zeros((picked, len(n)), np.int64)
-                for j in range(picked):
-                    spot = (np.minimum.reduceat(v, at) & low).astype(np.int64)
-                    have = sizes > j
-                    chosen[j] = np.where(have, spot, len(keys))
-                    v[spot[have]] = top
-                chosen.sort(0)
-                out = np.full(len(n), i + 1, np.uint64)
-                for j in range(picked):
-                    out = textkit.mix64(out * np.uint64(31) + padded[chosen[j]])
-                bands[:, i] = out
-            rows = list(bands)
+            rows = list(_agreeing(keys, sizes, range(count), picked))
+            some = np.flatnonzero(n <= MIDDLE)
+            begin = np.cumsum(sizes) - sizes
+            mine = keys[textkit.ragged(begin[some], sizes[some])]
+            for k, extra in zip(some.tolist(), _agreeing(mine, sizes[some], range(count, count + MORE), picked), strict=True):
+                rows[k] = np.append(rows[k], extra)
             for k in np.flatnonzero(n <= SHORT):
                 begin, size, *name = segments(int(n[k])).T
                 if len(begin):
@@ -298,11 +310,13 @@ def _possible(members: list[dict], bucket: int, similar: float, bins: int) -> tu
     shared = np.flatnonzero(np.bincount(where, minlength=len(names)) > 1)
     column = np.full(len(names), -1)
     column[shared] = np.arange(len(shared))
-    for at in range(0, len(shared), STEP):
-        part = (column[where] >= at) & (column[where] < at + STEP)
-        held = np.zeros((len(members), min(STEP, len(shared) - at)), np.float32)
-        held[owner[part], column[where][part] - at] = 1
-        fits &= (held[left] @ held[right].T) == 0
+    held = np.zeros((len(members), len(shared) // 64 + 1), np.uint64)
+    told = column[where] >= 0
+    bit = column[where][told]
+    np.bitwise_or.at(held, (owner[told], bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+    for k in np.flatnonzero(fits.any(1)):
+        open_ = np.flatnonzero(fits[k])
+        fits[k, open_[(held[right[open_]] & held[left[k]]).any(1)]] = False
     i, j = np.nonzero(fits)
     good = np.zeros(len(i), bool)
     for at in range(0, len(i), STEP):
