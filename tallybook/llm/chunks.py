@@ -21,7 +21,7 @@ from tallybook.llm import textkit
 from tallybook.llm.shared import release, shared_folder
 
 #: Bytes of text in one chunk (one document at least).
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Bits of an id that number the rows of a chunk, and the chunks of a task.
 ROW_BITS, CHUNK_BITS = 26, 16
 
