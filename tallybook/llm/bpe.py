@@ -170,12 +170,17 @@ class Pieces:
     @staticmethod
     def _fresh(codes: np.ndarray, heads: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Whether a piece starts at each code point; ``heads`` are the first ones of texts."""
+        kind = classes[np.minimum(codes, 0xFFFF)]
+        kind[codes >= 1 << 16] = OTHER
+        return Pieces.begun(codes, heads, kind)
+
+    @staticmethod
+    def begun(codes: np.ndarray, heads: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Whether a piece starts at each code point, whose classes are ``kind``."""
         n = len(codes)
         fresh = np.ones(n, bool)
         if not n:
             return fresh
-        kind = classes[np.minimum(codes, 0xFFFF)]
-        kind[codes >= 1 << 16] = OTHER
         fresh[1:] = kind[1:] != kind[:-1]
         opens = np.zeros(n + 4, bool)
         opens[heads] = opens[n:] = True

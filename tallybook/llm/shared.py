@@ -13,16 +13,15 @@ from tallybook.llm import textkit
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session.  Only where it is unset (tests on one
-    machine) is a temporary folder made and set, since nothing else is shared then."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session.  Only where it is unset (tests on one machine) does a
+    temporary folder become the context's checkpoint folder, since nothing else is shared then."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tallybook-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tallybook-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
