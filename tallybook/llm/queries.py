@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.llm import bpe, bytebpe, chat, decontam, language, neardup, pii, quality, substrings, suffixes, textkit, toxicity
+from tallybook.llm import audit, bpe, bytebpe, chat, decontam, infill, language, neardup, pii, quality, substrings, suffixes, textkit, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.transform(_table(spark, sf_dir, "documents")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.report(audit.counters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,5 +81,5 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode(docs, vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, finish=bytebpe.digests, schema=bytebpe.DIGESTS)
 
 
-QUERIES = {"op1_language": op1_language, "op2_toxicity": op2_toxicity, "op3_pii": op3_pii, "op4_decontamination": op4_decontamination, "op5_suffix_array": op5_suffix_array, "op6_substrings": op6_substrings, "op7_bpe": op7_bpe, "op8_chat": op8_chat, "op9_near_duplicates": op9_near_duplicates, "op10_quality": op10_quality, "op13_byte_bpe": op13_byte_bpe}
-ORACLES: dict[str, str] = {"op3_pii": pii.ORACLE, "op6_substrings": substrings.ORACLE, "op8_chat": chat.ORACLE, "op10_quality": quality.ORACLE}
+QUERIES = {"op1_language": op1_language, "op2_toxicity": op2_toxicity, "op3_pii": op3_pii, "op4_decontamination": op4_decontamination, "op5_suffix_array": op5_suffix_array, "op6_substrings": op6_substrings, "op7_bpe": op7_bpe, "op8_chat": op8_chat, "op9_near_duplicates": op9_near_duplicates, "op10_quality": op10_quality, "op11_infill": op11_infill, "op12_filter_audit": op12_filter_audit, "op13_byte_bpe": op13_byte_bpe}
+ORACLES: dict[str, str] = {"op3_pii": pii.ORACLE, "op6_substrings": substrings.ORACLE, "op8_chat": chat.ORACLE, "op10_quality": quality.ORACLE, "op11_infill": infill.ORACLE, "op12_filter_audit": audit.ORACLE}
