@@ -505,12 +505,12 @@ def _page_boxes(s: SparkSession, d: str) -> DataFrame:
     y = F.col("bottom") + 30
     foot = total.select("receipt_id", F.inline(F.array(
         F.struct(F.lit(900_000).alias("det_idx"), F.lit(60).alias("x0"), F.lit(200).alias("x1"), y.alias("y0"), (y + 18).alias("y1"), F.lit("TOTAL").alias("text"), F.lit(99).alias("confidence")),
-        F.struct(F.lit(900_001).alias("det_idx"), F.lit(700).alias("x0"), F.lit(790).alias("x1"), y.alias("y0"), (y + 18).alias("y1"), money.text(F.col("total")).alias("text"), F.lit(99).alias("confidence")),
+        F.struct(F.lit(900_001).alias("det_idx"), F.lit(710).alias("x0"), F.lit(790).alias("x1"), y.alias("y0"), (y + 18).alias("y1"), money.text(F.col("total")).alias("text"), F.lit(99).alias("confidence")),
     )))
     every = b.unionByName(foot)
     return every.select("receipt_id", "det_idx", *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0", "y1")], ((F.col("y0") + F.col("y1")) / 2).alias("cy"), "text", (F.col("confidence") / 100).alias("confidence"), F.lit(1000).alias("page_w"), F.lit(1000).alias("page_h"))
 
 
-@query()
+@query(f"WITH {v.LINES_SQL} SELECT receipt_id::VARCHAR AS receipt_id, CAST(sum(price) AS BIGINT) AS total, CAST(coalesce(sum(price) FILTER ((l_partkey * 7 + l_suppkey) % 50 <= 40), 0) AS BIGINT) AS items_total, count(*) FILTER ((l_partkey * 7 + l_suppkey) % 50 <= 40) AS n_items FROM rl GROUP BY 1")
 def receipts(s, d):
     return receipt_plan.process(_page_boxes(s, d))["receipts"].select("receipt_id", "total", "items_total", "n_items")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,6 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once: written to the folder that ``spark.checkpoint.dir`` names, which also cuts its lineage, or, where a session
+    names none, persisted (memory, then disk; ``unpersist`` it when done)."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def importable(spark: SparkSession) -> SparkSession:
     """Let Python workers on this machine find the package wherever the driver was started.
     A cluster ships it with ``--py-files`` instead."""

@@ -23,6 +23,7 @@ def process_stream(boxes: DataFrame, sink: Callable[[dict[str, DataFrame], int],
             sink(made, number)
         finally:
             made["lines"].unpersist()
+            made["pages"].unpersist()
 
     return boxes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
