@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tallybook.plans import catalog, evidence, itemviews, scalars  # noqa: F401
+from tallybook.plans import catalog, evidence, imageviews, itemviews, scalars  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -47,7 +47,7 @@ def test_snapshots(spark):
             paid += (t.kind, cents(t.amount)) in tenders[k]
     assert len(wanted) == len(found) == 21
     assert totals == 21 and dates == sum(bool(e.date) for e in wanted.values()) and merchants >= 20
-    assert hits >= 0.9 * asked and paid == owed
+    assert (hits, asked) >= (101, 103) and paid == owed
 
 
 def test_bad_polygons_go(spark):

@@ -30,7 +30,7 @@ def test_options_of_all_lines(spark, sf, monkeypatch):
     for r in few_lines(spark, sf, monkeypatch):
         seen = f"{r.price % 100:02d}".translate(str.maketrans("0158", "OISB")) + ("1" if r.l_partkey % 3 == 0 else "")
         want |= {(r.receipt_id * 100 + r.line_no, r.price // 100 * 100 + x, n) for x in range(100) if (n := edits(f"{x:02d}", seen)) <= 2}
-    assert {tuple(r) for r in evidence.malformed_options_whole(spark, sf).select("id", "cents", "score").collect()} == want
+    assert {tuple(r) for r in evidence.malformed_options(spark, sf).select("id", "cents", "score").collect()} == want
 
 
 def test_recovery_of_all_lines(spark, sf, monkeypatch):
@@ -45,4 +45,4 @@ def test_recovery_of_all_lines(spark, sf, monkeypatch):
         if len(least) == 1:
             want |= {(receipt, n, x) for n, x in zip(sorted(prices), least[0], strict=True)}
     assert max(map(len, receipts.values())) > 2
-    assert {tuple(r) for r in evidence.subset_recovery_whole(spark, sf).collect()} == want
+    assert {tuple(r) for r in evidence.subset_recovery(spark, sf).collect()} == want
