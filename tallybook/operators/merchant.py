@@ -9,11 +9,20 @@ from tallybook.functions import fuzzy
 from tallybook.operators.dimension import bounded
 
 HIGH, MEDIUM = 0.82, 0.66
+#: Letters of a keyword that headers are looked up by.
+GRAM = 3
 
 
 def resolve_exact(headers: DataFrame, keywords: DataFrame) -> DataFrame:
-    """The longest keyword (keyword, canonical) in each header (header_id, header), then by name."""
-    met = headers.join(bounded(keywords), F.contains(F.col("header"), F.col("keyword")))
+    """The longest keyword (keyword, canonical) in each header (header_id, header), then by name.
+
+    A keyword's first ``GRAM`` letters (all of a shorter one) stand somewhere in the header: both meet in an equi join on them."""
+    names = headers.select("header").distinct()
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("header") - n + 1, F.lit(1))), lambda i: F.substring("header", i, F.lit(n)))
+    grams = names.withColumn("gram", F.explode(F.array_distinct(F.concat(*[at(n) for n in range(1, GRAM + 1)]))))
+    keys = bounded(keywords).where(F.length("keyword") > 0).withColumn("gram", F.substring("keyword", F.lit(1), F.lit(GRAM)))
+    met = grams.join(keys, "gram").where(F.contains(F.col("header"), F.col("keyword"))).drop("gram")
+    met = headers.join(met, "header")
     w = Window.partitionBy("header_id").orderBy(F.desc(F.length("keyword")), "keyword")
     return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("header_id", "canonical", "keyword")
 
