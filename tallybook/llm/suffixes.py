@@ -16,8 +16,9 @@ Ties in the sort are broken by row and place, so that one passage in very many d
 dealt over as many tasks as it fills.  The first and last suffix of each task are compared
 once more among themselves.
 
-Defined results: texts under ``INNER`` words and null texts have no suffixes; documents without
-spans give no row; repeated rows share one result row.
+Defined results: texts under ``INNER`` words and null texts have no suffixes; a null doc_id is a doc_id of its own; documents without spans give no row; repeated rows (equal doc_id and text) are repeats of each other and share one result
+row, and any number of them costs what two do; a very long text is cut whole; ties in the order of suffixes go by row and place; an
+empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -49,12 +50,12 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, inner: int = INNER, gram
     """doc_id, its words, words inside repeats, and the spans of repeats in words."""
     if least - inner < gram:
         raise ValueError("least must be at least inner + gram")
-    known = stored(passages.repeated(anchors(docs, inner, gram)).groupBy("rid").agg(F.collect_list(F.struct("h", "at")).alias("found")), "anchors")
+    known = stored(passages.repeated(anchors(docs, inner, gram)).groupBy("rid").agg(F.collect_set(F.struct("h", "at")).alias("found")), "anchors")
     whole = passages.keyed(docs).repartition("rid")
     right, left = least - gram, inner - gram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in passages.gather(batches):
+        for part in passages.gather(_two_of_each(batches)):
             words = textkit.Words(part.column(2))
             small = (words.hash >> np.uint64(32)).astype(">u4")
             found = part.column(3)
@@ -104,6 +105,20 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, inner: int = INNER, gram
     return per_doc.select("doc_id", "n_words", "hits").mapInArrow(textkit.tidy(spans), SCHEMA).where("n_duplicate_words > 0")
 
 
+def _two_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows without the third and later ones of a run of equal rows (the merge join gives rows in the order of rid): two stand for any
+    number, since each finds its repeats in the other."""
+    before = np.full(2, -1, np.int64)
+    seen = 0
+    for batch in batches:
+        rid = batch.column(0).to_numpy()
+        last = np.concatenate([before, rid])
+        more = (rid == last[1:-1]) & (rid == last[:-2]) & (np.arange(seen, seen + len(rid)) >= 2)
+        seen += len(rid)
+        before = last[-2:]
+        yield batch.filter(pa.array(~more)) if more.any() else batch
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each suffix of a sorted run the words it shares with a neighbour (``reach``; -1 if
     not even the gram); the run's first and last suffix also keep their key."""

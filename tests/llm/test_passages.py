@@ -58,6 +58,14 @@ def test_repeated_spans(docs_of, rows):
     assert not clean & {i for i, _ in got}
 
 
+def test_many_equal_rows(docs_of, make_text):
+    """Equal rows are each other's repeats, whatever their number, and cost what two do."""
+    text = make_text(21, 300)
+    rows = [(1, text)] * 600 + [(2, make_text(22, 100)), (3, " ".join(text.split()[100:180]))]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in suffixes.repeated_spans(docs_of(rows)).collect()}
+    assert got == {1: [(0, 300)], 3: [(0, 80)]}
+
+
 def test_empty(docs_of):
     assert substrings.remove_duplicates(docs_of([])).count() == 0
     assert suffixes.repeated_spans(docs_of([])).count() == 0
