@@ -22,8 +22,8 @@ def process_stream(boxes: DataFrame, sink: Callable[[dict[str, DataFrame], int],
         try:
             sink(made, number)
         finally:
-            made["lines"].unpersist()
-            made["pages"].unpersist()
+            for name in ("words", "lines", "placed", "pages"):
+                made[name].unpersist()
 
     return boxes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
