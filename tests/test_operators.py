@@ -1,5 +1,6 @@
 """Operators on hand-made relations: ties, empties, ambiguity."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallybook.operators import balance, classify, geometry, giftcards, ledger, lines, merchant, page, recover, report
@@ -71,15 +72,17 @@ def test_geometry(spark):
     assert rows(near.select("target_idx", "row_idx")) == [(1, 0), (3, 2)]
 
 
-def test_tilted_lines(spark):
-    import numpy as np
-
-    x0 = np.array([50.0, 400, 50, 400, 50, 400])
-    flat = np.array([100.0, 100, 130, 130, 160, 160])
-    cy = flat + 0.05 * (x0 + 25)
-    got = page.lines_of(x0 + 25, cy, x0, x0 + 50, ["A", "1.00", "B", "2.00", "C", "3.00"], 500)
-    assert [(t, a) for t, a, _ in got] == [("A", "1.00"), ("B", "2.00"), ("C", "3.00")]
-    assert page.lines_of(*[np.zeros(0)] * 4, [], 500) == []
+@pytest.mark.parametrize("n", [0, 3, 6])
+def test_tilted_lines(spark, n):
+    """Rows that drop by a twentieth of their run are levelled before they are paired."""
+    rows = []
+    for k in range(n):
+        for x0, text in ((50.0, f"ITEM {k}"), (400.0, f"{k}.00")):
+            top = 90 + 30 * k + 0.05 * (x0 + 25)
+            rows.append(("r", len(rows), x0, x0 + 50, top, top + 20, top + 10, text, 0.9, 500, 500))
+    df = spark.createDataFrame(rows, "receipt_id string, det_idx int, x0 double, x1 double, y0 double, y1 double, cy double, text string, confidence double, page_w int, page_h int")
+    got = page.printed_lines(df).orderBy("line_no").collect()
+    assert [(r.text, r.amount) for r in got] == [(f"ITEM {k}", f"{k}.00") for k in range(n)]
 
 
 def test_recovery_and_matching():
