@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions import money, repairs
@@ -20,12 +20,14 @@ def score_maps(spark: SparkSession, d: str) -> DataFrame:
     bar, at, tall = (8 + F.col("l_partkey") % 16).cast("int"), (F.col("l_suppkey") % 6).cast("int"), (4 + F.col("l_suppkey") % 3).cast("int")
     score = ((505 + F.col("l_partkey") % 40 * 10) / 1000).cast("float")
     zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n)
-    blank = zeros(F.lit(WIDE))
-    on = F.concat(zeros(at + 1), F.array_repeat(score, bar), zeros(WIDE - 1 - at - bar))
-    block = F.flatten(F.concat(F.array_repeat(blank, 3), F.array_repeat(on, tall), F.array_repeat(blank, PITCH - 3 - tall)))
-    pages = rows.select("receipt_id", "line_no", block.alias("b")).groupBy("receipt_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "b"))).alias("x"))
-    scores = F.flatten(F.transform("x", lambda r: r["b"]))
-    return pages.select(F.col("receipt_id").alias("map_id"), scores.alias("scores"), F.lit(WIDE).alias("columns"), F.lit(2 * WIDE).alias("width"), (F.size("x") * PITCH).alias("height"))
+    # a map is drawn after its lines met: they are smaller than their pixels
+    pages = rows.select("receipt_id", F.struct("line_no", bar.alias("bar"), at.alias("at"), tall.alias("tall"), score.alias("score")).alias("b")).groupBy("receipt_id").agg(F.sort_array(F.collect_list("b")).alias("x"))
+
+    def block(b: Column) -> Column:
+        on = F.concat(zeros(b["at"] + 1), F.array_repeat(b["score"], b["bar"]), zeros(WIDE - 1 - b["at"] - b["bar"]))
+        return F.concat(zeros(F.lit(3 * WIDE)), F.flatten(F.array_repeat(on, b["tall"])), zeros((PITCH - 3 - b["tall"]) * WIDE))
+
+    return pages.select(F.col("receipt_id").alias("map_id"), F.flatten(F.transform("x", block)).alias("scores"), F.lit(WIDE).alias("columns"), F.lit(2 * WIDE).alias("width"), (F.size("x") * PITCH).alias("height"))
 
 
 @query(f"""WITH {v.LINES_SQL}, b AS (SELECT receipt_id, line_no, 1 + l_suppkey % 6 AS x, (line_no - 1) * {PITCH} + 3 AS y, 7 + l_partkey % 16 AS w, 3 + l_suppkey % 3 AS h, (505 + l_partkey % 40 * 10) / 1000.0 AS score FROM rl),
