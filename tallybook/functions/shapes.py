@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,5 +30,5 @@ def capped(width: Column, height: Column, most: int) -> tuple[Column, Column]:
 def inside(x: Column, y: Column, quad: Column) -> Column:
     """Whether a point lies in a convex quad (array of four (x, y) structs, either turn)."""
     cross = lambda a, b: (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
-    turns = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: cross(F.get(quad, i), F.get(quad, (i + 1) % 4)))
-    return F.forall(turns, lambda t: t >= 0) | F.forall(turns, lambda t: t <= 0)
+    turns = [cross(F.get(quad, F.lit(i)), F.get(quad, F.lit((i + 1) % 4))) for i in range(4)]
+    return reduce(Column.__and__, [t >= 0 for t in turns]) | reduce(Column.__and__, [t <= 0 for t in turns])
