@@ -108,7 +108,8 @@ def number_scalars(s, d):
     rows = _rows(s, d).withColumn("num", F.expr(_SCALED)).withColumn("whole", F.expr("right(p, 3)").cast("bigint"))
     top, day = F.lit(9223372036854775807), F.make_date((2000 + F.col("whole")).cast("int"), (1 + F.col("k") % 12).cast("int"), F.lit(28))
     edge = F.when(F.col("k") % 2 == 1, money.less(-top, F.col("price") + 1)).otherwise(money.less(top, F.col("price")))
-    return rows.select("receipt_id", "line_no", money.scaled(F.col("num"), 4).alias("scaled"), money.less(F.col("price"), F.col("whole")).alias("less"), edge.alias("edge"), dates.is_leap_year(F.col("whole")).alias("leap"), *[F.get(dates.ymd(day), F.lit(i)).alias(name) for i, name in enumerate(("year", "month", "day"))], texts.letters(F.col("t")).alias("letters"))
+    rows = rows.withColumn("ymd", dates.ymd(day))
+    return rows.select("receipt_id", "line_no", money.scaled(F.col("num"), 4).alias("scaled"), money.less(F.col("price"), F.col("whole")).alias("less"), edge.alias("edge"), dates.is_leap_year(F.col("whole")).alias("leap"), *[F.get("ymd", F.lit(i)).alias(name) for i, name in enumerate(("year", "month", "day"))], texts.letters(F.col("t")).alias("letters"))
 
 
 #: Lines with dates and what they are for, by (receipt_id + line_no) % 9; the text is the same for both engines.
