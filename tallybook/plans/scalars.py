@@ -165,6 +165,7 @@ _SCORE = "(l_partkey * 7 + step * 13 + class * class * 29 + step * class * 3) %
 b AS (SELECT id, step, class, score FROM (SELECT *, row_number() OVER (PARTITION BY id, step ORDER BY score DESC, class DESC) AS n FROM c) WHERE n = 1), l AS (SELECT *, lag(class) OVER (PARTITION BY id ORDER BY step) AS before FROM b)
 SELECT id, coalesce(string_agg(class::VARCHAR, '|' ORDER BY step) FILTER (class <> 0 AND (before IS NULL OR before <> class)), '') AS classes, round(coalesce(avg(score) FILTER (class <> 0 AND (before IS NULL OR before <> class)), 0), 6) AS confidence FROM l GROUP BY id""")
 def ctc_best_path(s, d):
-    rows = v.lines(s, d).select((F.col("receipt_id") * 100 + F.col("line_no")).alias("id"), "l_partkey", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("step"))
-    rows = rows.withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("id", "step", "class", F.expr(_SCORE).alias("score"))
+    score = lambda step, c: F.expr(_SCORE.replace("step", str(step)).replace("class", str(c)))
+    matrix = F.array(*[F.array(*[score(step, c) for c in range(4)]) for step in range(1, 9)])
+    rows = v.lines(s, d).select((F.col("receipt_id") * 100 + F.col("line_no")).alias("id"), matrix.alias("scores"))
     return walks.best_path(rows, "id")
